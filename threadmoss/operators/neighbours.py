@@ -26,3 +26,18 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Colu
     x = x.join(ends, [*keys, "_bucket"])
     far = F.struct(*[F.col(f"_end.{c}").alias(c) for c in carry])
     return x.withColumn(name, F.when(~F.col("_first"), F.col("_near")).when(F.col("_end").isNotNull(), far)).drop("_bucket", "_near", "_first", "_end")
+
+
+def with_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
+    """Add ``rank`` (0-based position in the group's order) and ``group_n`` (rows of the group), for groups of any size.
+
+    ``bucket`` must not fall as ``order`` rises.  Rows count within their bucket; buckets are offset by the counts before.
+    """
+    x = df.withColumn("_bucket", bucket)
+    sizes = x.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    over = Window.partitionBy(*keys).orderBy("_bucket")
+    before = F.coalesce(F.sum("_c").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_c").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    offsets = sizes.select(*keys, "_bucket", before.alias("_before"), total.alias("group_n"))
+    x = x.withColumn("_here", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
+    return x.join(offsets, [*keys, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_here")).drop("_bucket", "_here", "_before")
