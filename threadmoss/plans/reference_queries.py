@@ -479,3 +479,13 @@ def threshold_registry(spark, sf):
     p = thresholding_parameters(t.ThresholdingParameters, {"window_size": 15, "k": 0.5, "r": 128.0})
     x = fr.thresholds(_vectors(spark, sf), t.ThresholdingTechnique, **p)
     return x.groupBy("pos", "t").agg(F.avg(F.col("foreground").cast("double")).alias("foreground_share"))
+
+
+@query()
+def tracked_steps(spark, sf):
+    """Frames to tracks in one go: graphs of the vectors' frames, correspondences, and the fold over them."""
+    from .pipeline import analyse
+
+    f = _vectors(spark, sf).withColumn("timepoint", F.col("t") * 600.0).withColumn("calibration", F.lit(1.0))
+    t = Tunables(ThresholdingTechnique="sauvola", ThresholdingParameters="window_size:3,k:0.1", CleanUpHoleFillSize=1.0, RemoveSmallStructuresSize=3.0, BorderArtifactRemovalBorderSize=0.0, TrackingMaximumCoverage=1.0)
+    return analyse(f, t).steps
