@@ -35,11 +35,12 @@ def with_frame_seconds(frames: DataFrame, positions: DataFrame, key: str = "pos"
     """Add ``interval_s``, ``unit_s`` (seconds per stored unit) and ``seconds`` (true time, null without a timepoint).
 
     ``frames`` needs ``pos``, ``meta_t`` and ``timepoint``.  Rows of a position that ``positions`` doesn't know, or whose
-    interval isn't positive, get nulls.  A NaN timepoint counts as absent.  Repeated rows get equal times.
+    interval isn't positive, get nulls.  A NaN timepoint counts as absent.  Repeated rows get equal times.  Columns of the added names
+    are replaced.
     """
     plan = positions.groupBy(key).agg(F.max("interval_s").alias("interval_s")).where("interval_s > 0")
     t = F.when(present(F.col("timepoint")), F.col("timepoint"))
-    x = frames.withColumn("_t", t).withColumn("_block", F.coalesce(F.floor(F.col("meta_t") / FRAMES_PER_BLOCK), F.lit(0)))
+    x = frames.drop("interval_s", "unit_s", "seconds").withColumn("_t", t).withColumn("_block", F.coalesce(F.floor(F.col("meta_t") / FRAMES_PER_BLOCK), F.lit(0)))
     # the interval goes to every block of its position, so that a hot position is joined block by block
     spans = x.groupBy(key).agg(F.min("_block").alias("_a"), F.max("_block").alias("_z")).join(plan, key)
     x = x.join(spans.select(key, "interval_s", F.explode(F.sequence("_a", "_z")).alias("_block")), [key, "_block"], "left")

@@ -57,7 +57,7 @@ def impute(series: np.ndarray, window: int = 12, rank: int = 2, rounds: int = 25
             back[:, k : k + width] += low[:, :, k]
         new = np.where(gap[todo], back / weight, y)
         moved = np.abs(new - y).max(axis=1)
-        x[todo] = new * scale[todo, None]
+        x[todo] = np.where(gap[todo], new * scale[todo, None], x[todo])
         todo = todo[moved > tolerance]
         if not todo.size:
             break
