@@ -49,6 +49,8 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return ids, ids[root]
 
 
+#: seconds of a position whose links lie together
+STRETCH = 20_000.0
 #: edges that the map-side combine holds at once
 CHUNK = 400_000
 
@@ -97,7 +99,7 @@ def _decompose(edges: DataFrame, level: int, scratch: Scratch) -> DataFrame:
     return state.select("v", F.coalesce("centre", "v").alias("centre"))
 
 
-def linked_groups(edges: DataFrame, label: str = "groups", small: int = 2_000) -> DataFrame:
+def linked_groups(edges: DataFrame, label: str = "groups", small: int = 200) -> DataFrame:
     """vertex, group_id (the smallest vertex of the group) for every vertex of the edges (a, b: bigint).
 
     Null ends, self-loops and repeated edges are ignored; vertices without a real edge don't appear and are their own
@@ -157,8 +159,8 @@ def frame_edges(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     calls = timed.select("pos", "timepoint", F.col("vertex").alias("a"), F.explode("named").alias("node_id")).join(following, ["pos", "timepoint"])
     calls = calls.select("pos", F.col("next_timepoint").alias("timepoint"), "node_id", "a")
     edges = calls.join(timed.select("pos", "timepoint", "node_id", F.col("vertex").alias("b")), ["pos", "timepoint", "node_id"])
-    # stretches of a position lie together for the map-side combine; a position of any length is many stretches
-    return nodes, edges.repartition("pos", F.floor(F.col("timepoint") / F.lit(100_000.0))).select("a", "b")
+    # short stretches of a position lie together for the map-side combine; the decomposition joins the stretches
+    return nodes, edges.repartition("pos", F.floor(F.col("timepoint") / F.lit(STRETCH))).select("a", "b")
 
 
 def link_groups(links: DataFrame) -> DataFrame:
