@@ -78,4 +78,28 @@ def p8_by_source(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_sizes, p6_ids, p6_round_trip, p7_packed, p7_report, p8_found, p8_by_source)}
-ORACLES: dict[str, str] = {}
+
+_HASH = r"regexp_replace(trim({c}), '^((version:\d+:)?sha-?256:)', '', 'i')"
+
+
+def _hex(c: str) -> str:
+    """SQL: a hash in lower-case hexadecimal, however written."""
+    s = _HASH.format(c=c)
+    b = f"regexp_replace(translate({s}, '-_', '+/'), '=+$', '')"
+    return f"CASE WHEN regexp_full_match({s}, '[0-9a-fA-F]{{64}}') THEN lower({s}) WHEN regexp_full_match({b}, '[A-Za-z0-9+/]{{43}}') THEN lower(hex(from_base64({b} || '='))) WHEN {s} <> '' THEN {s} END"
+
+
+def _near(v: str) -> str:
+    return f"(isfinite(CAST(a.{v} AS DOUBLE)) AND isfinite(CAST(b.{v} AS DOUBLE)) AND abs(CAST(a.{v} AS DOUBLE) - CAST(b.{v} AS DOUBLE)) <= 0.01 * greatest(abs(CAST(a.{v} AS DOUBLE)), abs(CAST(b.{v} AS DOUBLE))))"
+
+
+_RECORDING = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(url_decode(trim(lower(filename))), '\?.*$', ''), '^.*[/\\]', '')), '^(copy of\s+)+', ''),"
+    r" '(\.ome)?\.tiff?\s*$', ''), '(\s*\(\d+\)|[ _-]copy)+$', ''), '[\s_.-]+', '_', 'g')"
+)
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH k AS (SELECT row_id, {_RECORDING} AS rec, meta_pos, meta_t, {_hex('tunables_hash')} AS tun, {_hex('image_sha256_hash')} AS h, covered_area, graph_edge_length, graph_node_count FROM result_table)
+SELECT min(a.row_id) AS first_row_id, b.row_id FROM k a JOIN k b ON a.rec = b.rec AND a.meta_pos = b.meta_pos AND a.meta_t = b.meta_t AND a.tun = b.tun AND a.row_id < b.row_id
+WHERE coalesce(a.h = b.h, false) OR coalesce({_near('covered_area')} AND {_near('graph_edge_length')} AND {_near('graph_node_count')}, false) GROUP BY b.row_id""",
+}
