@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.regular_grid import missing_slots, regular_grid
-from ..operators.schema_drift import schema_changes, unified_table
+from ..operators.schema_drift import ALIASES, schema_changes, unified_table
 from ..operators.spikes import implausible_readings
 from ..sources.tables import table
 
@@ -49,4 +49,32 @@ def p5_report(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_grid, p3_found, p3_report, p3_unified, p5_found, p5_report)}
-ORACLES: dict[str, str] = {}
+
+#: SQL: unit by the level of timepoint against the plan; a first frame has the unit of the earliest numbered one after it
+_SLOTS = """WITH p AS (SELECT pos, max(interval_s) AS iv FROM positions GROUP BY pos), r AS (SELECT r.pos, meta_t, CASE WHEN NOT isnan(timepoint) THEN timepoint END AS tp, iv,
+  covered_ratio IS NOT NULL AND NOT isnan(covered_ratio) AND graph_edge_length IS NOT NULL AND NOT isnan(graph_edge_length) AS ok FROM result_table r JOIN p USING (pos)),
+u AS (SELECT *, CASE WHEN meta_t > 0 AND tp > 0 THEN list_sort([(abs(ln(tp / (meta_t * iv) * f)), f) FOR f IN [1.0, 0.001, 60.0, 3600.0]])[1][2] END AS unit FROM r),
+z AS (SELECT pos, arg_min(unit, meta_t) AS first_unit FROM u WHERE unit IS NOT NULL GROUP BY pos),
+s AS (SELECT DISTINCT u.pos, CAST(floor(tp * coalesce(unit, first_unit, 1.0) / iv + 0.5) AS BIGINT) AS slot FROM u LEFT JOIN z ON u.pos = z.pos WHERE ok AND tp IS NOT NULL),
+b AS (SELECT pos, min(slot) AS a, max(slot) AS e FROM s GROUP BY pos), g AS (SELECT pos, unnest(range(a, e + 1)) AS slot FROM b)"""
+
+_NAMES = ", ".join(f"('{alias}', '{field}')" for field, more in ALIASES.items() for alias in more)
+_FILES = f"""WITH n(folded, field) AS (VALUES {_NAMES}), r AS (SELECT *, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload END AS p FROM raw_results),
+k AS (SELECT station, file_no, written_at, p, unnest(json_keys(p)) AS name FROM r WHERE p IS NOT NULL),
+v AS (SELECT k.*, coalesce(c.field, n.field, k.name) AS field, CASE json_type(p, '$."' || name || '"') WHEN 'BIGINT' THEN 'whole' WHEN 'UBIGINT' THEN 'whole' WHEN 'DOUBLE' THEN 'fraction' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'truth' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' END AS kind
+  FROM k LEFT JOIN n ON n.folded = regexp_replace(lower(name), '[^a-z0-9]', '', 'g') LEFT JOIN field_catalogue c ON regexp_replace(lower(c.field), '[^a-z0-9]', '', 'g') = regexp_replace(lower(name), '[^a-z0-9]', '', 'g')),
+s AS (SELECT station, file_no, field, string_agg(DISTINCT name, '|' ORDER BY name) AS names, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds FROM v GROUP BY station, file_no, field),
+f AS (SELECT station, file_no, min(written_at) AS w FROM raw_results GROUP BY station, file_no), o AS (SELECT *, lag(file_no) OVER (PARTITION BY station ORDER BY w, file_no) AS before_no FROM f),
+sk AS (SELECT s.station, s.file_no, s.field, lag(kinds) OVER (PARTITION BY s.station, s.field ORDER BY w, s.file_no) AS old_kinds FROM s JOIN f USING (station, file_no) WHERE kinds IS NOT NULL),
+now AS (SELECT o.file_no, s.field, s.names, s.kinds FROM o JOIN s ON s.station = o.station AND s.file_no = o.file_no WHERE before_no IS NOT NULL),
+old AS (SELECT o.file_no, s.field, s.names AS old_names FROM o JOIN s ON s.station = o.station AND s.file_no = o.before_no WHERE before_no IS NOT NULL),
+j AS (SELECT coalesce(now.file_no, old.file_no) AS file_no, coalesce(now.field, old.field) AS field, names, kinds, old_names FROM now FULL JOIN old ON now.file_no = old.file_no AND now.field = old.field),
+x AS (SELECT j.*, sk.old_kinds FROM j LEFT JOIN sk ON sk.file_no = j.file_no AND sk.field = j.field),
+c AS (SELECT file_no, field, 'added' AS change, CAST(NULL AS VARCHAR) AS "old", names AS "new" FROM x WHERE old_names IS NULL UNION ALL SELECT file_no, field, 'removed', old_names, NULL FROM x WHERE names IS NULL
+  UNION ALL SELECT file_no, field, 'renamed', old_names, names FROM x WHERE names <> old_names UNION ALL SELECT file_no, field, 'retyped', old_kinds, kinds FROM x WHERE names IS NOT NULL AND old_names IS NOT NULL AND kinds <> old_kinds)"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"{_SLOTS} SELECT pos, slot FROM g EXCEPT SELECT pos, slot FROM s",
+    "p3_found": f"{_FILES} SELECT file_no, field, change FROM c",
+    "p3_report": f"{_FILES} SELECT file_no, field, change, \"old\", \"new\" FROM c",
+}
