@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import fnmatch
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frametime import present
+from .neighbours import with_rank
 
 
 def in_range(value: Column, text: str) -> Column:
@@ -58,9 +59,8 @@ def divided_by_reference(frames: DataFrame, reference_t: int = 1) -> DataFrame:
 
 def aux_mapping(kept: DataFrame) -> DataFrame:
     """Number of each kept track within its position, and the name of its own table."""
-    w = Window.partitionBy("pos").orderBy("track_id")
-    n = F.dense_rank().over(w) - 1
-    return kept.select("pos", "track_id", n.alias("aux_table")).withColumn("individual_table", F.format_string("track_table_aux_tables_%09d", F.col("aux_table")))
+    numbered = with_rank(kept.select("pos", "track_id"), ["pos"], ["track_id"], F.floor(F.col("track_id") / 10_000))
+    return numbered.select("pos", "track_id", F.col("rank").cast("int").alias("aux_table")).withColumn("individual_table", F.format_string("track_table_aux_tables_%09d", F.col("aux_table")))
 
 
 def longest_tracks(steps: DataFrame, kept: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Tunables
 from ..functions.regression import linregress, optimized_regression
 from .frametime import present
-from .neighbours import with_previous
+from .neighbours import with_previous, with_rank
 
 #: stretch of time in seconds that one task orders
 STRETCH = 500_000.0
@@ -50,6 +50,19 @@ def shrinkage_allowed(now: Column, later: Column, tunables: Tunables = Tunables(
     return (now != 0) & (later != 0) & ((later > now) | F.coalesce(shrunk, F.lit(False)))
 
 
+def smoothed(steps: DataFrame, reach: int = 2, block: int = 4096) -> DataFrame:
+    """pos, track_id, i, smoothed: mean length over the steps up to ``reach`` rows before and after (fewer at the ends).
+
+    Tracks are cut into blocks of ``block`` rows; rows near a border also stand in the neighbouring block.
+    """
+    x = with_rank(steps, ["pos", "track_id"], ["i", "timepoint", "distance"], F.floor(F.col("i") / block))
+    home = F.floor(F.col("rank") / block)
+    reached = F.array_distinct(F.array(home, F.floor((F.col("rank") - reach) / block), F.floor((F.col("rank") + reach) / block)))
+    y = x.select("pos", "track_id", "i", "distance", "rank", home.alias("home"), F.explode(reached).alias("part"))
+    w = Window.partitionBy("pos", "track_id", "part").orderBy("rank").rowsBetween(-reach, reach)
+    return y.withColumn("smoothed", F.avg("distance").over(w)).where("home = part").select("pos", "track_id", "i", "smoothed")
+
+
 def step_fates(steps: DataFrame, tunables: Tunables = Tunables()) -> DataFrame:
     """Every step with the next one of its track, its rate in micrometres per hour and what becomes of it.
 

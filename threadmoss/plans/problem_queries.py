@@ -50,9 +50,9 @@ def p5_report(spark, sf):
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_grid, p3_found, p3_report, p3_unified, p5_found, p5_report)}
 
-#: SQL: unit by the level of timepoint against the plan; a first frame has the unit of the earliest numbered one after it
-_SLOTS = """WITH p AS (SELECT pos, max(interval_s) AS iv FROM positions GROUP BY pos), r AS (SELECT r.pos, meta_t, CASE WHEN NOT isnan(timepoint) THEN timepoint END AS tp, iv,
-  covered_ratio IS NOT NULL AND NOT isnan(covered_ratio) AND graph_edge_length IS NOT NULL AND NOT isnan(graph_edge_length) AS ok FROM result_table r JOIN p USING (pos)),
+#: SQL (NaN by its text, as isnan() of some DuckDB versions trusts statistics that leave NaN out): unit by the level of timepoint against the plan; a first frame has the unit of the earliest numbered one after it
+_SLOTS = """WITH p AS (SELECT pos, max(interval_s) AS iv FROM positions GROUP BY pos), r AS (SELECT r.pos, meta_t, CASE WHEN CAST(timepoint AS VARCHAR) <> 'nan' THEN timepoint END AS tp, iv,
+  coalesce(CAST(covered_ratio AS VARCHAR) <> 'nan' AND CAST(graph_edge_length AS VARCHAR) <> 'nan', false) AS ok FROM result_table r JOIN p USING (pos)),
 u AS (SELECT *, CASE WHEN meta_t > 0 AND tp > 0 THEN list_sort([(abs(ln(tp / (meta_t * iv) * f)), f) FOR f IN [1.0, 0.001, 60.0, 3600.0]])[1][2] END AS unit FROM r),
 z AS (SELECT pos, arg_min(unit, meta_t) AS first_unit FROM u WHERE unit IS NOT NULL GROUP BY pos),
 s AS (SELECT DISTINCT u.pos, CAST(floor(tp * coalesce(unit, first_unit, 1.0) / iv + 0.5) AS BIGINT) AS slot FROM u LEFT JOIN z ON u.pos = z.pos WHERE ok AND tp IS NOT NULL),

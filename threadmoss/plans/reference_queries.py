@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import Tunables, thresholding_parameters
@@ -294,8 +293,7 @@ def longest_track(spark, sf):
 
 @query(f"WITH {STEPS} SELECT pos, track_id, i, round(avg(distance) OVER (PARTITION BY pos, track_id ORDER BY i, timepoint, distance ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS smoothed FROM steps")
 def moving_average(spark, sf):
-    w = Window.partitionBy("pos", "track_id").orderBy("i", "timepoint", "distance").rowsBetween(-2, 2)
-    return _steps(spark, sf).select("pos", "track_id", "i", (F.round(F.avg("distance").over(w), 6) + 0.0).alias("smoothed"))
+    return rounded(tr.smoothed(_steps(spark, sf)))
 
 
 @query("SELECT pos FROM result_table INTERSECT SELECT pos FROM node_links")
