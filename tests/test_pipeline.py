@@ -141,3 +141,20 @@ def test_command_line(tmp_path, capsys):
     assert main(["--tunables-show", "-t", "CropWidth=4", "--tunables-save", str(tmp_path / "t.json")]) == 0
     assert '"CropWidth": 4' in capsys.readouterr().out
     assert tunables_of(parser().parse_args(["x.tif", "--tunables-load", str(tmp_path / "t.json"), "-t", "CropHeight=2"])).CropHeight == 2
+
+
+def test_graph_tables(spark):
+    from threadmoss.kernels.graph import NodeGraph, shortest_path
+
+    node = "struct<node_id:int,y:double,x:double,kind:string,component:int>"
+    ends = [(0, 0.0, 0.0, "endpoint", 0), (1, 0.0, 9.0, "endpoint", 0), (2, 0.0, 5.0, "junction", 0), (3, 9.0, 0.0, "endpoint", 3), (4, 9.0, 9.0, "endpoint", 3)]
+    df = spark.createDataFrame([(1, 0, ends, [(0, 2, 5.0), (1, 2, 4.0), (3, 4, 9.0)]), (1, 1, ends[:3], [(0, 2, 5.0), (1, 2, 4.0), (0, 1, 2.0)]), (2, 0, [], [])], f"pos int, t int, nodes array<{node}>, edges array<struct<a:int,b:int,weight:double>>")
+    pairs = {(r["t"], r["e"], r["other"]) for r in graphs.candidate_pairs(df).collect()}
+    assert pairs == {(0, 0, 2), (0, 1, 2), (0, 3, 4), (0, 4, 3), (1, 0, 2), (1, 1, 2)}
+    assert {(r["pos"], r["t"]): r["cycles"] for r in graphs.has_cycles(df).collect()} == {(1, 0): False, (1, 1): True, (2, 0): False}
+    assert {(r["t"], r["component"]): r["node_ids"] for r in graphs.connected_nodes(df).collect()} == {(0, 0): [0, 1, 2], (0, 3): [3, 4], (1, 0): [0, 1, 2]}
+    far = {(r["t"], r["a"], r["b"]): (r["distance"], r["hops"]) for r in fr.shortest_paths(df).collect()}
+    assert far[(0, 0, 1)] == (9.0, 2) and far[(1, 0, 2)] == (5.0, 1) and (0, 0, 3) not in far
+    assert len(graphs.read_graphml(graphs.graphml_of_graphs(df)).collect()) == 6
+    g = NodeGraph(np.zeros((4, 2)), 2, {0: {1: 2.0, 2: 9.0}, 1: {0: 2.0, 2: 3.0}, 2: {1: 3.0, 0: 9.0}})
+    assert shortest_path(g, 0, 2) == [0, 1, 2] and shortest_path(g, 0, 3) == []

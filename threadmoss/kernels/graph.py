@@ -148,3 +148,16 @@ def node_graph(skeleton: np.ndarray, calibration: float, endpoint_radius: float
     kept = sorted(weight)
     new = {old: i for i, old in enumerate(kept)}
     return NodeGraph(points[kept].reshape(-1, 2), sum(k < n_ends for k in kept), {new[a]: {new[b]: v for b, v in row.items()} for a, row in weight.items()})
+
+
+def shortest_path(g: NodeGraph, start: int, goal: int) -> list[int]:
+    """Nodes of a shortest weighted path, both ends included; empty where there is none.  Ties go to the smaller node."""
+    far = g.shortest()
+    if not np.isfinite(far[start, goal]):
+        return []
+    path = [start]
+    while path[-1] != goal:
+        a = path[-1]
+        steps = [(v + far[b, goal], b) for b, v in g.weight.get(a, {}).items() if b != a and b not in path]
+        path.append(min(steps)[1])
+    return path

@@ -161,3 +161,55 @@ def graphs(skeletons: DataFrame) -> DataFrame:
 
     node, edge = "struct<node_id:int,y:double,x:double,kind:string,component:int>", "struct<a:int,b:int,weight:double>"
     return map_frames(skeletons, run, f"nodes array<{node}>, edges array<{edge}>, graph_edge_length double, graph_edge_count double, graph_node_count bigint, graph_junction_count bigint, graph_endpoint_count bigint")
+
+
+def pathlets_of(skeletons: DataFrame) -> DataFrame:
+    """pos, t, pathlet_id, n_pixels, length of every polyline of a skeleton, in the order they are walked."""
+
+    def run(r):
+        for k, line in enumerate(kernel_graph.pathlets(_image(r) != 0)):
+            yield k, len(line), kernel_graph.path_length(line)
+
+    return map_frames(skeletons, run, "pathlet_id int, n_pixels int, length double")
+
+
+def shortest_paths(graph_rows: DataFrame) -> DataFrame:
+    """pos, t, a, b, distance, hops for every connected ordered pair of different nodes of each frame's graph."""
+
+    def run(r):
+        g = kernel_graph.NodeGraph(np.zeros((len(r.nodes), 2)), 0, {})
+        for e in r.edges:
+            g.weight.setdefault(int(e["a"]), {})[int(e["b"])] = float(e["weight"])
+            g.weight.setdefault(int(e["b"]), {})[int(e["a"])] = float(e["weight"])
+        far, hops = g.shortest(), g.shortest(False)
+        for a, b in np.argwhere(np.isfinite(far)):
+            if a != b:
+                yield int(a), int(b), float(far[a, b]), int(hops[a, b])
+
+    return map_frames(graph_rows.select(*KEY, "nodes", "edges"), run, "a int, b int, distance double, hops int")
+
+
+def start_frame_subtracted(frames: DataFrame, reference_t: int = 1, sigma: float = 15.0) -> DataFrame:
+    """Frames divided by the smoothed reference frame of their position and brought to 0-1; positions without it have none.
+
+    A pixel where the smoothed reference is zero is null, as are all pixels of a constant quotient.
+    """
+    ref = frames.where(F.col("t") == reference_t).select("pos", F.col("pixels").alias("reference"))
+
+    def run(r):
+        image, ground = _image(r), raster.gaussian(np.asarray(r.reference, float).reshape(int(r.height), int(r.width)), sigma)
+        with np.errstate(all="ignore"):
+            q = image / ground
+        q = np.where(np.isfinite(q), q, np.nan)
+        low, high = np.nanmin(q), np.nanmax(q)
+        with np.errstate(all="ignore"):
+            out = ((q - low) / (high - low)).ravel()
+        yield int(r.height), int(r.width), float(r.calibration), [float(v) if np.isfinite(v) else None for v in out]
+
+    return map_frames(frames.join(ref, "pos"), run, "height int, width int, calibration double, pixels array<double>")
+
+
+def inverted(frames: DataFrame) -> DataFrame:
+    """Grey values turned around within each frame's own range: the darkest pixel becomes the brightest."""
+    top = F.array_max("pixels") + F.array_min("pixels")
+    return frames.withColumn("_top", top).withColumn("pixels", F.transform("pixels", lambda v: F.col("_top") - v)).drop("_top")

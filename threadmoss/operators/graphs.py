@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.raster import DIRECTIONS
+
 from .neighbours import with_previous
 from .tracks import STRETCH
 
@@ -55,8 +57,6 @@ def overall_offsets(links: DataFrame) -> DataFrame:
     The offsets of a position come from sums per stretch of time, so that no position is summed in one task.
     """
     f = links.groupBy("pos", "t").agg(F.min("timepoint").alias("timepoint"), F.count_distinct("node_id").alias("n_nodes"))
-    from pyspark.sql import Window
-
     f = f.withColumn("_s", F.floor(F.col("timepoint") / F.lit(STRETCH)))
     stretch = f.groupBy("pos", "_s").agg(F.sum("n_nodes").alias("_sum"), F.max(F.struct("timepoint", "t")).alias("_last"))
     over = Window.partitionBy("pos").orderBy("_s")
@@ -91,3 +91,51 @@ def read_graphml(documents: DataFrame, column: str = "graphml") -> DataFrame:
     doc = F.col(column)
     ends = F.arrays_zip(F.xpath(doc, F.lit("//*[local-name()='edge']/@source")).alias("source"), F.xpath(doc, F.lit("//*[local-name()='edge']/@target")).alias("target"))
     return documents.select(*[c for c in documents.columns if c != column], F.explode(ends).alias("e")).select("*", "e.source", "e.target").drop("e")
+
+
+def directions(bits: Column) -> Column:
+    """The directions of a neighbourhood number as structs bit, dy, dx, opposite, in their fixed order."""
+    opposite = {b: next(o for o, d in DIRECTIONS.items() if d == (-dy, -dx)) for b, (dy, dx) in DIRECTIONS.items()}
+    every = F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(opposite[b]).alias("opposite")) for b, (dy, dx) in DIRECTIONS.items()])
+    return F.filter(every, lambda d: d["bit"].bitwiseAND(bits) != 0)
+
+
+def node_rows(graph_rows: DataFrame) -> DataFrame:
+    return graph_rows.select("pos", "t", F.explode("nodes").alias("n")).select("pos", "t", "n.*")
+
+
+def edge_rows(graph_rows: DataFrame) -> DataFrame:
+    """Both directions of every edge: pos, t, a, b, weight; a loop once."""
+    e = graph_rows.select("pos", "t", F.explode("edges").alias("e")).select("pos", "t", "e.*")
+    return e.unionByName(e.where("a <> b").select("pos", "t", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+
+
+def candidate_pairs(graph_rows: DataFrame) -> DataFrame:
+    """pos, t, e, other: an endpoint and an adjacent junction, or an adjacent endpoint where the component has no junction."""
+    n = node_rows(graph_rows)
+    ends = n.where("kind = 'endpoint'").select("pos", "t", F.col("node_id").alias("e"), "component")
+    near = edge_rows(graph_rows).where("a <> b").select("pos", "t", F.col("a").alias("e"), F.col("b").alias("other"))
+    other = n.select("pos", "t", F.col("node_id").alias("other"), "kind")
+    pairs = ends.join(near, ["pos", "t", "e"]).join(other, ["pos", "t", "other"])
+    with_junction = n.where("kind = 'junction'").select("pos", "t", "component").distinct()
+    plain = pairs.where("kind = 'endpoint'").join(with_junction, ["pos", "t", "component"], "left_anti")
+    return pairs.where("kind = 'junction'").select("pos", "t", "e", "other").unionByName(plain.select("pos", "t", "e", "other"))
+
+
+def has_cycles(graph_rows: DataFrame) -> DataFrame:
+    """pos, t, n_components, cycles: more edges than a forest of the nodes could have; a loop is a cycle."""
+    n = F.size(F.array_distinct("nodes.component"))
+    return graph_rows.select("pos", "t", n.alias("n_components"), (F.size("edges") - F.size("nodes") + n > 0).alias("cycles"))
+
+
+def connected_nodes(graph_rows: DataFrame) -> DataFrame:
+    """pos, t, component, node_ids: the nodes of each component in order."""
+    return node_rows(graph_rows).groupBy("pos", "t", "component").agg(F.array_sort(F.collect_list("node_id")).alias("node_ids"))
+
+
+def graphml_of_graphs(graph_rows: DataFrame) -> DataFrame:
+    """pos, t, graphml of each frame's graph: nodes with x and y, edges with their weight."""
+    node = F.array_join(F.transform("nodes", lambda x: F.format_string('<node id="n%d"><data key="x">%s</data><data key="y">%s</data></node>', x["node_id"], x["x"].cast("string"), x["y"].cast("string"))), "")
+    edge = F.array_join(F.transform("edges", lambda x: F.format_string('<edge source="n%d" target="n%d"><data key="weight">%s</data></edge>', x["a"], x["b"], x["weight"].cast("string"))), "")
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="x" for="node" attr.type="double"/><key id="y" for="node" attr.type="double"/><key id="weight" for="edge" attr.type="double"/><graph edgedefault="undirected">'
+    return graph_rows.select("pos", "t", F.concat(F.lit(head), node, edge, F.lit("</graph></graphml>")).alias("graphml"))

@@ -487,3 +487,60 @@ def tracked_steps(spark, sf):
     f = _vectors(spark, sf).withColumn("timepoint", F.col("t") * 600.0).withColumn("calibration", F.lit(1.0))
     t = Tunables(ThresholdingTechnique="sauvola", ThresholdingParameters="window_size:3,k:0.1", CleanUpHoleFillSize=1.0, RemoveSmallStructuresSize=3.0, BorderArtifactRemovalBorderSize=0.0, TrackingMaximumCoverage=1.0)
     return analyse(f, t).steps
+
+
+def _graphs(spark, sf):
+    return fr.graphs(fr.masks(_dark(spark, sf), lambda m, cal: raster.thin(m)))
+
+
+@query()
+def candidate_pairs(spark, sf):
+    return gr.candidate_pairs(_graphs(spark, sf))
+
+
+@query()
+def graph_cycles(spark, sf):
+    return gr.has_cycles(_graphs(spark, sf))
+
+
+@query()
+def graph_components(spark, sf):
+    return gr.connected_nodes(_graphs(spark, sf)).select("pos", "t", "component", F.size("node_ids").alias("n_nodes"))
+
+
+@query()
+def graph_paths(spark, sf):
+    return fr.shortest_paths(_graphs(spark, sf))
+
+
+@query()
+def skeleton_pathlets(spark, sf):
+    return fr.pathlets_of(fr.masks(_dark(spark, sf), lambda m, cal: raster.thin(m)))
+
+
+@query()
+def graphml_edges(spark, sf):
+    """Edges read back from the GraphML of every frame's graph."""
+    return gr.read_graphml(gr.graphml_of_graphs(_graphs(spark, sf)))
+
+
+@query()
+def start_frame_subtracted(spark, sf):
+    x = fr.start_frame_subtracted(_vectors(spark, sf), sigma=2.0)
+    return x.select("pos", "t", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))), 6).alias("sum"))
+
+
+@query(f"WITH {PX} SELECT pos, t, y, x, round(max(v) OVER w + min(v) OVER w - v, 9) + 0.0 AS v FROM p WINDOW w AS (PARTITION BY pos, t)")
+def inverted_frames(spark, sf):
+    f = fr.inverted(_vectors(spark, sf)).select("pos", "t", F.posexplode("pixels").alias("i", "v"))
+    return f.select("pos", "t", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), (F.round("v", 9) + 0.0).alias("v"))
+
+
+_DIRECTIONS_SQL = ", ".join(f"({b}, {dy}, {dx})" for b, (dy, dx) in raster.DIRECTIONS.items())
+
+
+@query(f"""WITH {DARK}, d(bit, dy, dx) AS (VALUES {_DIRECTIONS_SQL}), e AS (SELECT a.pos, a.t, a.y, a.x, d.bit, d.dy, d.dx FROM s a, d WHERE EXISTS (SELECT 1 FROM s b WHERE b.pos = a.pos AND b.t = a.t AND b.y = a.y + d.dy AND b.x = a.x + d.dx))
+SELECT e.pos, e.t, e.y, e.x, e.bit, e.dy, e.dx, o.bit AS opposite FROM e JOIN d o ON o.dy = -e.dy AND o.dx = -e.dx""")
+def neighbour_directions(spark, sf):
+    n = fr.neighbour_maps(_dark(spark, sf))
+    return n.select("pos", "t", "y", "x", F.explode(gr.directions(F.col("neighbourhood"))).alias("d")).select("pos", "t", "y", "x", "d.*")
