@@ -105,6 +105,7 @@ def test_linkage_against_all_pairs(spark):
         found = index.link(part)
         got |= {r["row_id"]: r["first_row_id"] for r in found.collect()}
         mapping = index.accept(found)
+        index = linkage.LinkIndex(spark, root=index.root, deliveries=index.deliveries)  # as a later session would
     assert got == brute(plain)
     whole = components([(a, b) for b, a in got.items()])
     assert {r["row_id"]: r["representative"] for r in mapping.collect()} == whole
