@@ -81,7 +81,7 @@ def packed(sizes: DataFrame, kinds: DataFrame, label: str = "packing", rounds: i
     """
     spark = sizes.sparkSession
     scratch = Scratch(spark, label)
-    capacity = {r["kind"]: int(r["capacity_tokens"]) for r in kinds.where("kind is not null and capacity_tokens > 0").limit(1000).collect()}  # a fixed, tiny table
+    capacity = {r["kind"]: int(r["capacity_tokens"]) for r in kinds.where("kind is not null and capacity_tokens > 0").collect()}  # a fixed, tiny table
     if not capacity:
         return spark.createDataFrame([], "kind string, doc_id bigint, piece_no int, n_tokens int, container_id string")
     docs = scratch.save(sizes.select("doc_id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")), "sizes")
