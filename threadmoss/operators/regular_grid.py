@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .frametime import present, with_frame_seconds
 
 SLOTS = 128
@@ -118,14 +119,15 @@ def regular_grid(readings: DataFrame, positions: DataFrame, fields: tuple[str, .
         usable = usable & present(F.col(f))
     timed = with_frame_seconds(need, positions).where(usable & present(F.col("seconds")) & (F.abs("seconds") < 1e15) & F.col("pos").isNotNull())
     slot = F.floor(F.col("seconds") / F.col("interval_s") + 0.5)
-    per_slot = timed.groupBy("pos", slot.alias("slot"), "interval_s").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in fields])
+    per_slot = timed.groupBy("pos", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in fields])
+    per_slot = Scratch(readings.sparkSession, "grid").save(per_slot, "slots")  # read twice: for the buckets and for the spans
     # each slot goes to its bucket, and near a border also to the neighbour's halo
     here = F.floor(F.col("slot") / SLOTS)
     reach = F.array_distinct(F.array(here, F.floor((F.col("slot") - HALO) / SLOTS), F.floor((F.col("slot") + HALO) / SLOTS)))
     buckets = per_slot.select("*", F.explode(reach).alias("bucket")).groupBy("pos", "bucket").agg(
         F.array_sort(F.collect_list(F.struct("slot", "n", *fields))).alias("at")
     )
-    spans = per_slot.groupBy("pos").agg(F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.max("interval_s").alias("interval_s"))
+    spans = per_slot.groupBy("pos").agg(F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     every = spans.select("*", F.explode(F.sequence(F.floor(F.col("first_slot") / SLOTS), F.floor(F.col("last_slot") / SLOTS))).alias("bucket"))
     rows = every.join(buckets, ["pos", "bucket"], "left").select(
         "pos", "bucket", "first_slot", "last_slot", F.coalesce("at.slot", F.array().cast("array<bigint>")).alias("slots"),
