@@ -226,6 +226,31 @@ def test_copies_tell(spark):
     assert {r["doc_id"] for r in truncation.truncated(docs).collect()} == {2}
 
 
+def test_copies_of_a_band_all_meet(spark):
+    """Variants with one opening, and a copy whose opening was touched up: each open ending meets every other text that is alike."""
+    from threadmoss.scratch import Scratch
+
+    w = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts = {"cut": w[:54], "longer": w[:56], "longest": w[:58], "whole": [*w, "end."], "touched": ["zz", *w[1:], "end."], "other": [*w[::-1], "end."]}
+    docs = spark.createDataFrame([(i, " ".join(t), None, None) for i, t in enumerate(texts.values())], "doc_id bigint, text string, source string, title string")
+    t = truncation.texts_of(docs)
+    name = {r["plain"]: k for r in t.collect() for k, v in texts.items() if r["plain"] == " ".join(v)}
+    found = {(name[r["body"]], name[r["copy"]]) for r in truncation.near_copies(t, Scratch(spark, "t")).collect()}
+    alike = {"cut", "longer", "longest", "whole", "touched"}
+    assert found == {(a, b) for a in ("cut", "longer", "longest") for b in alike if a != b}
+
+
+@pytest.mark.parametrize("cell", [1, 4096])
+def test_band_cells(spark, monkeypatch, cell):
+    from threadmoss.scratch import Scratch
+
+    monkeypatch.setattr(truncation, "CELL", cell)
+    w = [f"word{chr(97 + i)}" for i in range(26)]
+    docs = spark.createDataFrame([(i, " ".join([*w, chr(97 + i) * 3]), None, None) for i in range(6)], "doc_id bigint, text string, source string, title string")
+    pairs = [(r["text_id"], r["copy_id"]) for r in truncation.near_copies(truncation.texts_of(docs), Scratch(spark, "t")).collect()]
+    assert len(pairs) == len(set(pairs)) == 30
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p1_clusters", "p4_found", "p4_sizes", "p6_ids", "p6_round_trip", "p7_packed", "p7_report", "p8_found", "p8_by_source"])
 def test_queries_run(name, spark, data):
     from threadmoss.llm.queries import QUERIES
