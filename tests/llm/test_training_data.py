@@ -251,6 +251,21 @@ def test_band_cells(spark, monkeypatch, cell):
     assert len(pairs) == len(set(pairs)) == 30
 
 
+def test_copies_are_aligned(spark):
+    """A slip before the end, a slip in the last word, a phrase that occurs before, and a text that only ends in another word."""
+    base = "it stood in the hall for years and nobody asked who had put it there until the painters came and wanted the wall free so we moved the clock"
+    whole = base + " to the upper room and there it still runs every day. later on"
+    ends = base + " to the upper room. there it still runs every day of the year"
+    repeated = "we came home late. " + base + " and we came home late, tired and hungry"
+    cases = [
+        (base + " to the uper room and the", whole, 1, 0), (base + " to the upper room and ther", whole, 1, 0), (base + " to the uppr room", ends, 0, 1), (base + " to the upper roon", ends, 0, 1),
+        (repeated[: repeated.index(", tired")], repeated, 1, 0), (base + " to the upper ceiling", whole, 0, 0), (base + " to the upper room and there it still runs every day", whole, 0, 1),
+    ]
+    pairs = spark.createDataFrame([(i, t, 100, c) for i, (t, c, *_) in enumerate(cases)], "text_id bigint, body string, copy_id bigint, copy string")
+    got = {r["text_id"]: (r["n_on"], r["n_ends"]) for r in truncation.copy_verdicts(pairs).collect()}
+    assert got == {i: (on, end) for i, (_, _, on, end) in enumerate(cases) if on + end}
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p1_clusters", "p4_found", "p4_sizes", "p6_ids", "p6_round_trip", "p7_packed", "p7_report", "p8_found", "p8_by_source"])
 def test_queries_run(name, spark, data):
     from threadmoss.llm.queries import QUERIES
