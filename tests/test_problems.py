@@ -120,6 +120,15 @@ def test_drift(spark):
     assert schema_drift.schema_changes(raw.where("false"), cat).count() == 0
 
 
+def test_unified_keeps_further_fields(spark, tmp_path):
+    from threadmoss.plans.problem_queries import p3_unified
+
+    spark.createDataFrame([("shift_x", "double", "")], "field string, data_type string, meaning string").write.parquet(f"{tmp_path}/field_catalogue.parquet")
+    _raw(spark, [("a", 1, [{"shift_x": 1, "ma\"in": {"b": 2}, "gain": None}, {"shift_x": 1, "dx": 2.5}, {"dx": 3}])]).write.parquet(f"{tmp_path}/raw_results.parquet")
+    got = {r["record_id"]: (r["shift_x"], r["other"]) for r in p3_unified(spark, str(tmp_path)).collect()}
+    assert got == {1: (1.0, '{"gain":null,"ma\\"in":{"b":2}}'), 2: (2.5, '{"dx":2.5,"shift_x":1}'), 3: (3.0, "{}")}
+
+
 def test_neighbours_across_buckets(spark):
     from pyspark.sql import functions as F
 

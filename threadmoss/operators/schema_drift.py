@@ -104,7 +104,8 @@ def unified_table(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     """One row per valid record with every catalogued field in its catalogued type, and ``<field>_kind``, the branch it came in.
 
     A value that can't be converted (a bare truth value, a text without digits) is null with its kind kept.  Fields that the
-    catalogue doesn't know are kept as JSON text in the map ``other``.  Repeated lines stay repeated.
+    catalogue doesn't know are kept as JSON text in the map ``other``.  If a record has a catalogued field in several
+    spellings, its column holds the largest value, and ``other`` every spelling with its own.  Repeated lines stay repeated.
     """
     e = entries(records, catalogue)
     # the catalogue is fixed and small: eleven rows of names and types
@@ -117,5 +118,13 @@ def unified_table(records: DataFrame, catalogue: DataFrame) -> DataFrame:
         cast = {"int": lambda c: F.round(c).cast("bigint"), "double": lambda c: c.cast("double")}.get(kind, lambda c: c)
         outs += [F.max(F.when((F.col("field") == f) & (F.col("kind") != "truth"), cast(got))).alias(f), kind_of(f).alias(f"{f}_kind")]
     known = [f for f, _ in wanted]
-    other = F.map_from_entries(F.array_sort(F.collect_set(F.when(~F.col("field").isin(known), F.struct("field", F.to_json("value").alias("v"))))))
-    return e.groupBy("record_id", "file_no", "station", "line_no").agg(*outs, other.alias("other"))
+    every = F.array_sort(F.collect_list(F.struct("name", "field", F.to_json("value").alias("v"))))
+    left = lambda x: ~x["field"].isin(known) | (F.size(F.filter("_every", lambda y: y["field"] == x["field"])) > 1)
+    other = F.map_from_entries(F.transform(F.filter("_every", left), lambda x: F.struct(x["name"], x["v"])))
+    return e.groupBy("record_id", "file_no", "station", "line_no").agg(*outs, every.alias("_every")).withColumn("other", other).drop("_every")
+
+
+def as_json(other: Column) -> Column:
+    """A map of JSON texts as one JSON object, its keys in the map's order."""
+    key = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(other), lambda x: F.concat(key(x["key"]), F.lit(":"), F.coalesce(x["value"], F.lit("null")))), ","), F.lit("}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.regular_grid import missing_slots, regular_grid
-from ..operators.schema_drift import ALIASES, schema_changes, unified_table
+from ..operators.schema_drift import ALIASES, as_json, schema_changes, unified_table
 from ..operators.spikes import implausible_readings
 from ..sources.tables import table
 
@@ -35,7 +35,8 @@ def p3_report(spark, sf):
 
 
 def p3_unified(spark, sf):
-    return unified_table(table(spark, sf, "raw_results"), table(spark, sf, "field_catalogue")).drop("other")
+    """The unified table; ``other``, the fields outside the catalogue, as the text of a JSON object sorted by key."""
+    return unified_table(table(spark, sf, "raw_results"), table(spark, sf, "field_catalogue")).withColumn("other", as_json(F.col("other")))
 
 
 def p5_found(spark, sf):
