@@ -66,6 +66,22 @@ def test_imputation_keeps_readings_and_converges():
     assert regular_grid.impute(np.array([[np.nan, 3.0, np.nan]])).tolist() == [[3.0, 3.0, 3.0]]
 
 
+def test_long_gaps_stand_still():
+    import pandas as pd
+
+    t = np.arange(100.0)
+    x = np.vstack([np.exp(r * t) + np.sin(t / p) for r in (0.01, 0.03, 0.05) for p in (3, 9, 20)])
+    x[:, 40:62] = np.nan
+    z, moving = regular_grid.imputed(x)
+    again, _ = regular_grid.imputed(x, rounds=100_000)
+    assert not moving.any() and np.array_equal(z, again) and np.array_equal(regular_grid.impute(x), z)
+    assert regular_grid.imputed(x, rounds=2)[1][:, 40:62].any() and not regular_grid.imputed(x, rounds=2)[1][:, :40].any()
+    slots = np.flatnonzero(~np.isnan(x[0]))
+    block = pd.DataFrame({"pos": [1], "bucket": [0], "first_slot": [0], "last_slot": [99], "slots": [slots], "n": [np.ones(slots.size, int)], "y": [x[0][slots]]})
+    state = lambda rounds: set(pd.concat(regular_grid._solver(("y",), 24, rounds)(iter([block])))["state"])
+    assert state(2) >= {"observed", "unsettled"} and state(regular_grid.ROUNDS) == {"observed", "filled"}
+
+
 def test_implausible(spark, plan):
     s = []
     for m in range(60):

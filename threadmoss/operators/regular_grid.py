@@ -21,11 +21,18 @@ from .frametime import present, with_frame_seconds
 
 SLOTS = 128
 HALO = 24
-OBSERVED, FILLED, MISSING = "observed", "filled", "missing"
+OBSERVED, FILLED, UNSETTLED, MISSING = "observed", "filled", "unsettled", "missing"
+#: a gap whose values still move after so many rounds is unsettled
+ROUNDS = 5000
 
 
-def impute(series: np.ndarray, window: int = 12, rank: int = 2, rounds: int = 25, tolerance: float = 1e-4) -> np.ndarray:
-    """Fill the NaNs of each row of a matrix; rows are series of equal length.
+def impute(series: np.ndarray, window: int = 12, rank: int = 2, rounds: int = ROUNDS, tolerance: float = 1e-4) -> np.ndarray:
+    """Fill the NaNs of each row of a matrix; rows are series of equal length."""
+    return imputed(series, window, rank, rounds, tolerance)[0]
+
+
+def imputed(series: np.ndarray, window: int = 12, rank: int = 2, rounds: int = ROUNDS, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with their NaNs filled, and which entries still moved by more than ``tolerance`` of the row's largest value in the last round.
 
     A row with fewer than two readings gets its single reading everywhere, an empty row stays NaN.
     """
@@ -39,8 +46,9 @@ def impute(series: np.ndarray, window: int = 12, rank: int = 2, rounds: int = 25
             x[r, gap[r]] = np.interp(grid[gap[r]], grid[have], x[r, have])
     window = min(window, (n + 1) // 2)
     todo = np.flatnonzero(gap.any(axis=1) & ~np.isnan(x).any(axis=1) & ((~gap).sum(axis=1) > 2))
+    moving = np.zeros_like(gap)
     if window < 2 or not todo.size:
-        return x
+        return x, moving
     scale = np.ones(b)
     scale[todo] = np.maximum(np.abs(x[todo]).max(axis=1), 1e-300)
     width = n - window + 1
@@ -57,15 +65,16 @@ def impute(series: np.ndarray, window: int = 12, rank: int = 2, rounds: int = 25
         for k in range(window):
             back[:, k : k + width] += low[:, :, k]
         new = np.where(gap[todo], back / weight, y)
-        moved = np.abs(new - y).max(axis=1)
+        moved = np.abs(new - y) > tolerance
         x[todo] = np.where(gap[todo], new * scale[todo, None], x[todo])
-        todo = todo[moved > tolerance]
+        moving[todo] = moved
+        todo = todo[moved.any(axis=1)]
         if not todo.size:
             break
-    return x
+    return x, moving
 
 
-def _solver(fields: tuple[str, ...], longest_fill: int):
+def _solver(fields: tuple[str, ...], longest_fill: int, rounds: int = ROUNDS):
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
@@ -83,7 +92,11 @@ def _solver(fields: tuple[str, ...], longest_fill: int):
                         for f in fields:
                             read[f][k, s] = pdf[f].iat[r]
                 # an infinite reading stays in its own slot, but no gap is filled from it
-                full = {f: np.where(np.isinf(m), m, impute(np.where(np.isinf(m), np.nan, m))) for f, m in read.items()}
+                full, moving = {}, np.zeros(count.shape, dtype=bool)
+                for f, m in read.items():
+                    x, moves = imputed(np.where(np.isinf(m), np.nan, m), rounds=rounds)
+                    full[f] = np.where(np.isinf(m), m, x)
+                    moving |= moves
                 # length of the gap that each slot lies in, within bucket and halo
                 gap = count == 0
                 run = np.zeros_like(count)
@@ -94,7 +107,7 @@ def _solver(fields: tuple[str, ...], longest_fill: int):
                 slot = lo[rows][:, None] + np.arange(int(n))
                 mine = (slot // SLOTS) == pdf["bucket"].to_numpy()[rows][:, None]
                 far = (run > longest_fill) | np.isnan(full[fields[0]])
-                state = np.where(~gap, OBSERVED, np.where(far, MISSING, FILLED))
+                state = np.where(~gap, OBSERVED, np.where(far, MISSING, np.where(moving, UNSETTLED, FILLED)))
                 out = {"pos": np.broadcast_to(pdf["pos"].to_numpy()[rows][:, None], slot.shape)[mine], "slot": slot[mine], "n_rows": count[mine], "state": state[mine]}
                 for f in fields:
                     out[f] = np.where(far & gap, np.nan, full[f])[mine]
@@ -108,7 +121,8 @@ def _solver(fields: tuple[str, ...], longest_fill: int):
 def regular_grid(readings: DataFrame, positions: DataFrame, fields: tuple[str, ...] = ("covered_ratio", "graph_edge_length"), longest_fill: int = HALO) -> DataFrame:
     """One row per slot between a source's first and last usable slot: pos, slot, n_rows, state and the fields.
 
-    state is ``observed``, ``filled`` (imputed) or ``missing`` (gap longer than ``longest_fill`` slots: fields are null).
+    state is ``observed``, ``filled`` (imputed), ``unsettled`` (imputed, but still moving after ROUNDS rounds) or ``missing``
+    (gap longer than ``longest_fill`` slots: fields are null).
     A row is usable if its timepoint and all fields are neither null nor NaN; several rows of one slot are averaged.
     Sources without a usable row, with a null key or without a planned interval yield no row.  Infinite times are not
     usable.  Extra columns of the input are ignored.
