@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from .raster import DIRECTIONS, neighbours
 
-_BITS = tuple(DIRECTIONS)
-_OPPOSITE = {b: next(o for o, d in DIRECTIONS.items() if d == (-dy, -dx)) for b, (dy, dx) in DIRECTIONS.items()}
-
 
 def path_length(points: np.ndarray, window: int = 5) -> float:
     """Length of a polyline, smoothed by a moving average (whole pixels, ends repeated) if it is longer than the window."""
@@ -36,38 +32,43 @@ def merged(points: np.ndarray, radius: float) -> np.ndarray:
 
 
 def pathlets(skeleton: np.ndarray) -> list[np.ndarray]:
-    """The polylines of a skeleton, walked from its endpoints over direction bits that are used up on the way.
-
-    A walk ends where a pixel has other than two neighbours or nothing is left to follow; a junction queues what is left of
-    its directions.  Rings without an endpoint and single pixels give none.
+    """The polylines of a skeleton: chains of edge pixels between pixels with one or more than two neighbours.
+
+    A chain has one way in from either side, so it is followed in one go: behind an edge pixel lies the neighbour that one
+    didn't come from.  Pixels at the ends of chains keep account of the directions not yet used, as the sum of their
+    numbers: leaving takes a direction off, arriving the one pointing back, unless nothing would be left.  Endpoints start,
+    the last one first; what a reached junction has left follows in order of discovery.  So a chain's far end is visited
+    again where its account wasn't closed, which gives a stub of two pixels.  Rings without an endpoint and single pixels
+    give none.
     """
-    degree, bits = neighbours(skeleton)
-    left = bits.copy()
     h, w = skeleton.shape
-    queue = deque((int(left[y, x]), y, x) for y, x in np.argwhere(degree == 1))
-    out = []
-    while queue:
-        bit, y, x = queue.pop()
-        if left[y, x] < bit or bit not in DIRECTIONS:
+    degree, bits = (np.pad(a, 1).ravel() for a in neighbours(skeleton))
+    step = {b: dy * (w + 2) + dx for b, (dy, dx) in DIRECTIONS.items()}
+    number = {v: b for b, v in step.items()}
+    at = np.arange(degree.size)
+    both = sum(np.where(bits & b, at + v, 0) for b, v in step.items())  # sum of the places of all neighbours
+    inside = np.pad(np.ones((h, w), bool), 1).ravel()
+    account, used = bits.copy(), np.zeros(degree.size, bool)
+    visits = [(p, int(bits[p])) for p in np.flatnonzero(degree == 1)[::-1].tolist()]
+    lines = []
+    for start, bit in visits:  # grows by the exits of reached junctions
+        if account[start] < bit:
             continue
-        line = [(y, x)]
-        while True:
-            left[y, x] -= bit
-            dy, dx = DIRECTIONS[bit]
-            if not (0 <= y + dy < h and 0 <= x + dx < w):
-                break
-            y, x = y + dy, x + dx
-            line.append((y, x))
-            back = _OPPOSITE[bit]
-            if back < left[y, x]:
-                left[y, x] -= back
-            bit = int(left[y, x])
-            if degree[y, x] != 2 or bit == 0 or bit not in DIRECTIONS:
-                break
-        if degree[y, x] > 2 and left[y, x] > 0:
-            queue.extendleft((b, y, x) for b in _BITS if left[y, x] & b)
-        out.append(np.array(line))
-    return out
+        account[start] -= bit
+        line = [start, start + step[bit]]
+        if not inside[line[1]]:
+            line.pop()
+        elif not used[line[1]]:
+            while degree[line[-1]] == 2:
+                line.append(int(both[line[-1]]) - line[-2])
+            used[line[1:-1]] = True
+            back = number[line[-2] - line[-1]]
+            if back < account[line[-1]]:
+                account[line[-1]] -= back
+        if degree[line[-1]] > 2:
+            visits += [(line[-1], b) for b in DIRECTIONS if account[line[-1]] & b]
+        lines.append(np.stack(np.divmod(line, w + 2), axis=1) - 1)
+    return lines
 
 
 @dataclass
