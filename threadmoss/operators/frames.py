@@ -23,6 +23,8 @@ def frames_of_vectors(vectors: DataFrame, side: int = 8, calibration: float = 1.
     """Square frames from vectors of side * side values: pos is the label, t the rank by vec_id within it."""
     x = vectors.where("embedding is not null and label is not null").select(F.col("label").alias("pos"), "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
     x = with_rank(x.where(F.size("pixels") == side * side), ["pos"], ["vec_id"], F.floor(F.col("vec_id") / 100_000))
+    # small in bytes, heavy in kernels: frames stay spread however few bytes they are
+    x = x.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pos", "rank")
     return x.select("pos", F.col("rank").cast("int").alias("t"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(calibration).alias("calibration"), "pixels")
 
 
@@ -72,71 +74,85 @@ def _image(row) -> np.ndarray:
     return np.asarray(row.pixels, dtype=float).reshape(int(row.height), int(row.width))
 
 
-def map_frames(frames: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+#: array entries after which a task hands its rows on
+HANDED_ON = 2_000_000
+
+
+def whole_frames(frames: DataFrame) -> DataFrame:
+    """Frames with as many pixels as their size says, none of them null, and a positive calibration."""
+    whole = (F.size("pixels") == F.col("height") * F.col("width")) & (F.size("pixels") > 0) & (F.col("calibration") > 0) & ~F.exists("pixels", lambda v: v.isNull())
+    return frames.where(F.coalesce(whole, F.lit(False)))
+
+
+def map_frames(frames: DataFrame, kernel: Callable, schema: str, status: str | None = None) -> DataFrame:
     """Rows that a kernel makes of each frame: ``kernel(frame)`` yields tuples in the order of the schema after pos, t.
 
-    A frame on which the kernel fails is left out, as a failed frame is; the others of its batch are not touched.
+    Frames that aren't whole are left out, and an error of the kernel fails the task.  With ``status``, a column of that name
+    is added: every frame gives a row, one that isn't whole or on which the kernel fails the text of its error and nulls; the
+    others of its batch are not touched.  Rows are handed on as they fill a batch of HANDED_ON entries.
     """
     names = ["pos", "t", *[c.strip().split()[0] for c in schema.split(", ")]]
+    source = frames if status else whole_frames(frames)
+
+    def of_frame(r) -> list[tuple]:
+        if not status:
+            return [(r.pos, r.t, *x) for x in kernel(r)]
+        try:
+            if not r.calibration > 0:
+                raise ValueError("no calibration")
+            return [(r.pos, r.t, *x, None) for x in kernel(r)]
+        except Exception as e:  # noqa: BLE001  whatever fails is told in the row
+            return [(r.pos, r.t, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"[:200])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*names, status] if status else names
         for pdf in batches:
-            rows = []
+            rows, entries = [], 0
             for r in pdf.itertuples(index=False):
-                try:
-                    rows.extend((r.pos, r.t, *x) for x in kernel(r))
-                except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError):
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+                rows += of_frame(r)
+                entries += 1 if r.pixels is None else len(r.pixels)
+                if entries >= HANDED_ON:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows, entries = [], 0
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return source.mapInPandas(run, f"pos int, t int, {schema}" + (f", {status} string" if status else ""))
+
 
-    return frames.mapInPandas(run, f"pos int, t int, {schema}")
+def _per_pixel(frames: DataFrame, kernel: Callable[[np.ndarray], tuple], **kinds: str) -> DataFrame:
+    """y, x and the values of every pixel: the kernel gives one array per column of a frame, which the JVM takes apart."""
+    schema = "width int, " + ", ".join(f"{c} array<{kind}>" for c, kind in kinds.items())
+    x = map_frames(frames, lambda r: [(int(r.width), *[np.ravel(a) for a in kernel(_image(r))])], schema)
+    x = x.select("pos", "t", "width", F.posexplode(F.arrays_zip(*kinds)).alias("i", "p"))
+    return x.select("pos", "t", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), *[F.col(f"p.{c}").alias(c) for c in kinds])
 
 
 def thresholds(frames: DataFrame, technique: str, **parameters) -> DataFrame:
-    """pos, t, y, x, threshold, foreground by a named technique."""
+    """pos, t, y, x, threshold (null where undefined), foreground by a named technique."""
 
-    def kernel(r):
-        image = _image(r)
+    def kernel(image):
         t = raster.threshold(image, technique, **parameters)
         with np.errstate(invalid="ignore"):
-            dark = np.where(np.isnan(t), False, image < t)
-        ok = np.isfinite(t)
-        for y, x in np.ndindex(*image.shape):
-            yield int(y), int(x), float(t[y, x]) if ok[y, x] else None, bool(dark[y, x])
+            return np.where(np.isfinite(t), t, np.nan), np.where(np.isnan(t), False, image < t)
 
-    return map_frames(frames, kernel, "y int, x int, threshold double, foreground boolean")
+    x = _per_pixel(frames, kernel, threshold="double", foreground="boolean")
+    return x.withColumn("threshold", F.when(~F.isnan("threshold"), F.col("threshold")))
 
 
 def box_statistics(frames: DataFrame, window: int) -> DataFrame:
-    def kernel(r):
-        mean, std = raster.box_mean_std(_image(r), window)
-        for y, x in np.ndindex(*mean.shape):
-            yield int(y), int(x), float(mean[y, x]), float(std[y, x])
-
-    return map_frames(frames, kernel, "y int, x int, mean double, std double")
+    return _per_pixel(frames, lambda image: raster.box_mean_std(image, window), mean="double", std="double")
 
 
 def neighbour_maps(frames: DataFrame) -> DataFrame:
     """Per set pixel of ``pixels`` (non-zero): connectivity, direction bits and class."""
-
-    def kernel(r):
-        degree, bits = raster.neighbours(_image(r) != 0)
-        for y, x in np.argwhere(_image(r) != 0):
-            d = int(degree[y, x])
-            yield int(y), int(x), d, int(bits[y, x]), "end" if d == 1 else "edge" if d == 2 else "junction" if d > 2 else "single"
-
-    return map_frames(frames, kernel, "y int, x int, connectivity int, neighbourhood int, pixel_class string")
+    x = _per_pixel(frames, lambda image: (image != 0, *raster.neighbours(image != 0)), there="boolean", connectivity="int", neighbourhood="int").where("there").drop("there")
+    d = F.col("connectivity")
+    return x.withColumn("pixel_class", F.when(d == 1, "end").when(d == 2, "edge").when(d > 2, "junction").otherwise("single"))
 
 
 def labelled(frames: DataFrame) -> DataFrame:
     """y, x, label of every set pixel: 8-connected components, numbered in row-major order of their first pixel."""
-
-    def kernel(r):
-        lab, _ = raster.label(_image(r) != 0)
-        for y, x in np.argwhere(lab > 0):
-            yield int(y), int(x), int(lab[y, x])
-
-    return map_frames(frames, kernel, "y int, x int, label int")
+    return _per_pixel(frames, lambda image: (raster.label(image != 0)[0],), label="int").where("label > 0")
 
 
 def masks(frames: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarray]) -> DataFrame:
@@ -144,7 +160,7 @@ def masks(frames: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarray])
 
     def run(r):
         m = kernel(_image(r) != 0, float(r.calibration))
-        yield int(m.shape[0]), int(m.shape[1]), float(r.calibration), m.astype(float).ravel().tolist()
+        yield int(m.shape[0]), int(m.shape[1]), float(r.calibration), m.astype(float).ravel()
 
     return map_frames(frames, run, "height int, width int, calibration double, pixels array<double>")
 
@@ -186,7 +202,8 @@ def shortest_paths(graph_rows: DataFrame) -> DataFrame:
             if a != b:
                 yield int(a), int(b), float(far[a, b]), int(hops[a, b])
 
-    return map_frames(graph_rows.select(*KEY, "nodes", "edges"), run, "a int, b int, distance double, hops int")
+    given = graph_rows.select(*KEY, "nodes", "edges", F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(1.0).alias("calibration"), F.array(F.lit(1.0)).alias("pixels"))
+    return map_frames(given, run, "a int, b int, distance double, hops int")
 
 
 def start_frame_subtracted(frames: DataFrame, reference_t: int = 1, sigma: float = 15.0) -> DataFrame:
@@ -201,7 +218,7 @@ def start_frame_subtracted(frames: DataFrame, reference_t: int = 1, sigma: float
         with np.errstate(all="ignore"):
             q = image / ground
         q = np.where(np.isfinite(q), q, np.nan)
-        low, high = np.nanmin(q), np.nanmax(q)
+        low, high = (np.nanmin(q), np.nanmax(q)) if np.isfinite(q).any() else (np.nan, np.nan)
         with np.errstate(all="ignore"):
             out = ((q - low) / (high - low)).ravel()
         yield int(r.height), int(r.width), float(r.calibration), [float(v) if np.isfinite(v) else None for v in out]
