@@ -91,6 +91,55 @@ def test_folding_in_blocks_changes_nothing(spark, monkeypatch):
     assert {(s[0], s[2]) for s in whole} == {(p, i) for p in (1, 2) for i in range(19)}
 
 
+def _pair_of_frames(second, links, first=None, hours=1.0):
+    """Endpoints 0 and 1 and junction 2 of one component, and the frame after; edges are (a, b, weight)."""
+    row = lambda i, edges, kinds, links: {"nodes": [{"kind": k, "y": 0.0, "x": float(n)} for n, k in enumerate(kinds)], "edges": [dict(zip("ab", e[:2]), weight=e[2]) for e in edges], "links": [{"node_id": a, "next_id": b, "alternatives": alt} for a, b, alt in links], "i": i, "timepoint": i * hours * 3600, "calibration": 1.0, "covered_ratio": 0.1}
+    return tracking._Frame(row(0, first or [(0, 2, 10.0), (1, 2, 7.0)], ["endpoint", "endpoint", "junction"], links)), tracking._Frame(row(1, second, ["endpoint", "endpoint", "junction", "junction"], []))
+
+
+@pytest.mark.parametrize(("second", "links", "fates"), [
+    ([(0, 2, 20.0), (1, 2, 9.0)], [(0, 0, [0]), (1, 1, [1]), (2, 2, [2])], [None, None]),
+    ([(0, 2, 20.0), (1, 2, 9.0)], [(0, 0, [0]), (2, 2, [2])], [None, "missing node"]),
+    ([(0, 2, 20.0), (1, 2, 9.0)], [(0, 2, [2]), (1, 1, [1]), (2, 2, [2])], ["one successor", None]),
+    ([(0, 3, 20.0), (1, 2, 9.0)], [(0, 0, [0]), (1, 1, [1]), (2, 2, [2])], ["unconnected", None]),
+    ([(0, 3, 20.0), (1, 2, 9.0)], [(0, 0, [0]), (1, 1, [1]), (2, 2, [2, 3])], [None, None]),  # an alternative of the junction fits
+    ([(0, 2, 5.0), (1, 2, 9.0)], [(0, 0, [0]), (1, 1, [1]), (2, 2, [2])], ["shortcut", None]),
+    ([(0, 2, 111.0), (1, 2, 6.9)], [(0, 0, [0]), (1, 1, [1]), (2, 2, [2])], ["rate", "rate"]),
+])
+def test_fates_of_pairs(second, links, fates):
+    a, b = _pair_of_frames(second, links)
+    out = tracking._advance(a, b, np.empty((0, 3), int), 5, Tunables())
+    assert out[["e", "other"]].values.tolist() == [[0, 2], [1, 2]]
+    assert [None if f != f else f for f in out["fate"]] == fates
+    assert sorted(out["track"][out["fate"].isna()]) == [5 + k for k in range(fates.count(None))]
+
+
+def test_an_open_track_claims_its_endpoint_first():
+    a, b = _pair_of_frames([(0, 2, 20.0), (1, 2, 9.0)], [(0, 0, [0]), (1, 1, [1]), (2, 2, [2])])
+    out = tracking._advance(a, b, np.array([[3, 0, 2]]), 7, Tunables())
+    assert list(out["track"]) == [3, -1, 7] and out["fate"].iat[1] == "endpoint used otherwise" and out["d2"].iat[0] == 20.0
+
+
+def test_line_between_endpoints_is_judged_by_its_weighted_path():
+    """A direct edge that is longer than the way round passes another node, whatever its number of hops."""
+    links = [(0, 0, [0]), (1, 1, [1]), (2, 2, [2])]
+    for direct, fate in ((20.0, "inner node"), (16.0, None)):
+        a, b = _pair_of_frames([(0, 1, 18.0)], links, first=[(0, 2, 10.0), (1, 2, 7.0), (0, 1, direct)])
+        out = tracking._advance(a, b, np.array([[1, 0, 1]]), 2, Tunables())
+        assert (None if out["fate"].iat[0] is None else out["fate"].iat[0]) == fate and out["hops"].iat[0] == 1
+
+
+def test_fates_are_rows(spark):
+    nodes = [(0, 0.0, 0.0, "endpoint", 0), (1, 0.0, 10.0, "junction", 0)]
+    rows = [(1, i, i * 600.0, 1.0, 0.1, nodes if i < 2 else [], [(0, 1, 10.0 + i)] if i < 2 else []) for i in range(3)]
+    schema = "pos int, t int, timepoint double, calibration double, covered_ratio double, nodes array<struct<node_id:int,y:double,x:double,kind:string,component:int>>, edges array<struct<a:int,b:int,weight:double>>"
+    ordered = tracking.in_order(spark.createDataFrame(rows, schema))
+    out = tracking.outcomes(ordered, tracking.match_nodes(ordered))
+    assert [(r["track_id"], r["i"], r["distance"], r["next_distance"]) for r in tracking.steps_of(out).withColumn("next_distance", F.lit(11.0)).collect()] == [(0, 0, 10.0, 11.0)]
+    assert [(r["track_id"], r["i"], r["fate"]) for r in tracking.fates_of(out).orderBy("track_id").collect()] == [(None, 1, "one successor"), (0, 1, "one successor")]
+    assert tracking.outcomes(ordered.where("false"), tracking.match_nodes(ordered.where("false"))).count() == 0
+
+
 def test_matching_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     pts = [(1, t, k, float(y), float(x)) for t in range(3) for k, (y, x) in enumerate(rng.random((40, 2)) * 10)]
