@@ -100,15 +100,111 @@ def test_linkage_against_all_pairs(spark):
         dirty.append((i, i // 200, mp, mt, rng.choice(ways)(names[rec]), a, l, n, None if h is None else rng.choice(hashes)(h), rng.choice(["", "VERSION:1:SHA256:"]) + rng.choice(hashes)(tun).strip().replace("sha256:", ""), "clash"))
     df = spark.createDataFrame(dirty + dirty[:3], R)
     index = linkage.LinkIndex(spark)
-    got, mapping = {}, None
+    got, links = {}, set()
     for part in linkage.deliveries(df):
-        found = index.link(part)
-        got |= {r["row_id"]: r["first_row_id"] for r in found.collect()}
-        mapping = index.accept(found)
+        got |= {r["row_id"]: r["first_row_id"] for r in index.link(part).collect()}
+        index.accept()
         index = linkage.LinkIndex(spark, root=index.root, deliveries=index.deliveries)  # as a later session would
+    assert index.deliveries == 3 and got == brute(plain)
+    whole = components(all_pairs(plain))
+    assert {r["row_id"]: r["representative"] for r in index.mapping().collect()} == whole
+
+
+def all_pairs(rows):
+    """Every pair of rows that are one frame."""
+    for i, r in enumerate(rows):
+        for q in rows[:i]:
+            if brute([(1, *q[1:]), (2, *r[1:])]):
+                yield q[0], r[0]
+
+
+def _same_frame(rows):
+    """Rows (row_id, batch, covered area, hash) of one recording, position and frame."""
+    return [(i, b, 0, 0, "a.tif", a, 50.0, 10, h, "t", "c") for i, b, a, h in rows]
+
+
+def check_bridges(spark):
+    """100 and 101.8 are apart; 100.9 agrees with both, and so do two clusters joined by a hash."""
+    rows = _same_frame([(1, 0, 100.0, None), (2, 0, 101.8, None), (3, 1, 100.9, None), (4, 1, 300.0, "x"), (5, 2, 600.0, "y"), (6, 2, 600.0, "x"), (7, 3, 9.0, None)])
+    index = linkage.LinkIndex(spark)
+    written = []
+    for part in linkage.deliveries(spark.createDataFrame(rows, R)):
+        index.link(part)
+        written.append({(r["row_id"], r["representative"]) for r in index.accept().collect()})
+    assert {r["row_id"]: r["representative"] for r in index.mapping().collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+    assert written == [set(), {(1, 1), (2, 1), (3, 1)}, {(4, 4), (5, 4), (6, 4)}, set()]
+
+
+def _read_of(df):
+    """Bytes of the files that a plan reads."""
+    import os
+
+    return sum(os.path.getsize(r["f"].removeprefix("file://")) for r in df.select(F.input_file_name().alias("f")).distinct().collect())
+
+
+def test_history_is_read_by_recording(spark, monkeypatch):
+    """Each delivery brings one recording: what it reads of the history doesn't grow with the number of deliveries before."""
+    read = []
+    own = linkage.LinkIndex._history
+
+    def watched(self, *args):
+        df = own(self, *args)
+        read.append(_read_of(df))
+        return df
+
+    monkeypatch.setattr(linkage.LinkIndex, "_history", watched)
+    index = linkage.LinkIndex(spark)
+    for n in range(12):
+        rows = [(n * 100 + i, n, 0, i % 50, f"rec{n % 6}.tif", 100.0, 50.0, 10, f"h{n % 6}-{i % 50}", "t", "c") for i in range(1, 61)]
+        found = index.link(spark.createDataFrame(rows, R)).count()
+        assert found == (10 if n < 6 else 60)
+    whole = sum(_read_of(spark.read.parquet(index.scratch.path(f"keys/delivery={n}"))) for n in range(11))
+    assert max(read) <= whole / 3 and read[10] <= read[6] * 1.5
+
+
+@pytest.mark.parametrize("small", [2, 16])
+def test_linkage_by_block_and_by_grid(spark, monkeypatch, small):
+    monkeypatch.setattr(linkage, "SMALL_BLOCK", small)
+    check_bridges(spark)
+
+
+def test_drifting_block_is_exact(spark, monkeypatch):
+    """A block whose readings creep on over many tolerances, in all of the grid's distances; points compared are few."""
+    monkeypatch.setattr(linkage, "SLICE", 16)
+    rng = random.Random(3)
+    rows = [(i, i // 300, 0, 0, "a.tif", 100.0 * 1.0003**i * (1 + rng.uniform(-0.004, 0.004)), 50.0 * 1.0002**i * (1 + rng.uniform(-0.003, 0.003)), 1000 + i // 3 + rng.randrange(4), None, "t", "c") for i in range(1, 451)]
+    plain = [(r[0], 0, 0, 0, 0, *r[5:8], None, "t") for r in rows]
+    index, got = linkage.LinkIndex(spark), {}
+    for part in linkage.deliveries(spark.createDataFrame(rows, R)):
+        got |= {r["row_id"]: r["first_row_id"] for r in index.link(part).collect()}
+        index.accept()
     assert got == brute(plain)
-    whole = components([(a, b) for b, a in got.items()])
-    assert {r["row_id"]: r["representative"] for r in mapping.collect()} == whole
+    assert {r["row_id"]: r["representative"] for r in index.mapping().collect()} == components(all_pairs(plain))
+
+
+def test_weights_decide(spark):
+    """Without the exact rule a pair with other hashes and two of three readings alike is judged by what was learned."""
+    learned = linkage.learned_weights([("equal", (1, 1, 1), 500), ("absent", (1, 1, 1), 200), ("other", (0, 0, 0), 400), ("other", (0, 1, 0), 60), ("absent", (1, 1, 0), 40), ("equal", (0, 0, 0), 3)])
+    assert learned["absent", (1, 1, 0)] > 0.5 > learned["other", (0, 1, 0)] and learned["equal", (1, 1, 1)] > 0.99
+    assert linkage.threshold_of(learned, False) == 0.5 and linkage.threshold_of(learned, True) == min(0.5, learned["equal", (0, 0, 0)])
+    rows, n = [], 0
+    for f in range(120):
+        base = 100.0 + 7 * f
+        same = f % 3 != 0
+        for k in range(2):
+            n += 1
+            v = base if k == 0 or same else base * 1.7
+            rows.append((n, k, 0, f, "a.tif", v, v / 2, int(v) if f % 30 != 1 or k == 0 else int(v * 2), None if same and k else f"h{f}-{k}", "t", "c"))
+    index = linkage.LinkIndex(spark)
+    found = {}
+    for part in linkage.deliveries(spark.createDataFrame(rows, R)):
+        found[len(found)] = {r["row_id"] for r in index.link(part, exact=False).collect()}
+    alike = {r[0] for r in rows if r[1] == 1 and r[3] % 3 != 0}
+    partly = {r[0] for r in rows if r[1] == 1 and r[3] % 30 == 1}
+    assert found[0] == set() and found[1] == alike and partly <= alike
+    strict = linkage.LinkIndex(spark)
+    got = [strict.link(part) for part in linkage.deliveries(spark.createDataFrame(rows, R))]
+    assert {r["row_id"] for r in got[1].collect()} == alike - partly
 
 
 def test_linkage_nulls_and_empty(spark):

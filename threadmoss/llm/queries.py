@@ -30,8 +30,9 @@ def p1_clusters(spark, sf):
     """row_id and representative of every row that repeats another or is repeated, updated delivery by delivery."""
     index = LinkIndex(spark)
     for part in deliveries(table(spark, sf, "result_table")):
-        mapping = index.accept(index.link(part))
-    return mapping
+        index.link(part)
+        index.accept()
+    return index.mapping()
 
 
 def p4_found(spark, sf):
