@@ -59,6 +59,35 @@ def test_node_links(spark):
     assert got == {1: 1, 6: 1, 4: 1, 2: 2, 3: 3, 8: 5, 5: 5, 7: 7, 9: 9}
 
 
+#: groups by SQL: labels wander along the links until none falls; as many steps as frames are linked in a row, so for a small table
+GROUPS_SQL = """WITH RECURSIVE n AS (SELECT pos, t, node_id, min(link_id) AS v, min(CASE WHEN NOT isnan(timepoint) THEN timepoint END) AS tp FROM node_links GROUP BY pos, t, node_id),
+m AS (SELECT pos, tp, lead(tp) OVER (PARTITION BY pos ORDER BY tp) AS nx FROM (SELECT DISTINCT pos, tp FROM n WHERE pos IS NOT NULL AND tp IS NOT NULL)),
+c AS (SELECT DISTINCT pos, t, node_id, unnest(list_append(coalesce(alternatives, []), next_id)) AS k FROM node_links),
+e AS MATERIALIZED (SELECT DISTINCT a.v AS a, b.v AS b FROM c JOIN n a ON a.pos = c.pos AND a.t = c.t AND a.node_id = c.node_id JOIN m ON m.pos = a.pos AND m.tp = a.tp JOIN n b ON b.pos = m.pos AND b.tp = m.nx AND b.node_id = c.k WHERE c.k >= 0),
+g AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(v, root) USING KEY (v) AS (SELECT v, v FROM n UNION (SELECT g.b, min(r.root) FROM r JOIN g ON g.a = r.v JOIN recurring.r AS o ON o.v = g.b WHERE r.root < o.root GROUP BY g.b))
+SELECT l.link_id, r.root AS group_id FROM node_links l JOIN n ON n.pos IS NOT DISTINCT FROM l.pos AND n.t IS NOT DISTINCT FROM l.t AND n.node_id IS NOT DISTINCT FROM l.node_id JOIN r ON r.v = n.v"""
+
+
+def test_groups_against_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view node_links as select * from '{data}/node_links.parquet'")
+    want = sorted(con.execute(GROUPS_SQL).fetchall())
+    got = sorted(tuple(r) for r in grouping.link_groups(spark.read.parquet(f"{data}/node_links.parquet")).select("link_id", "group_id").collect())
+    assert got == want and len({g for _, g in got}) < len(got)
+
+
+def test_decomposition_of_edges_that_lie_together():
+    rng = np.random.default_rng(7)
+    for n, m in ((2, 1), (50, 30), (400, 390), (3000, 2990)):
+        edges = np.concatenate([rng.integers(0, n, (m, 2)), np.stack([np.arange(n, 2 * n), np.arange(n + 1, 2 * n + 1)], 1)]) * 977
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        ids, least = grouping._decomposed(edges[:, 0], edges[:, 1])
+        assert dict(zip(ids.tolist(), least.tolist())) == components([tuple(e) for e in edges.tolist()])
+
+
 R = "row_id bigint, batch_no int, meta_pos int, meta_t int, filename string, covered_area double, graph_edge_length double, graph_node_count bigint, image_sha256_hash string, tunables_hash string, k1 string"
 
 

@@ -6,8 +6,8 @@ contracted to edges between super-vertices, and the decomposition recurses on th
 assignments of all levels are then composed.  Every step is a join or an aggregate over vertices or edges, and every
 level is a written table, so neither a hub nor a chain of any length ends up in one task.
 
-Before the first level, edges that lie together in a partition are contracted on the spot, in chunks of fixed size: a
-map-side combine that changes no result, only how many super-vertices the first level starts from.
+Before the first level, edges that lie together in a partition are decomposed in the same way on the spot, in chunks of fixed
+size: a map-side combine that changes no result, only how many super-vertices the first level over all edges starts from.
 """
 
 from __future__ import annotations
@@ -28,30 +28,48 @@ RATE = 0.7
 ROUNDS = 3
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vertices of some edges, and of each the smallest vertex joined to it by those edges."""
+def _draw(vertex: np.ndarray, level: int) -> np.ndarray:
+    """Rounds until a vertex starts a cluster of its own: an exponential draw fixed by vertex and level."""
+    x = (vertex.astype(np.uint64) + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    unit = ((x >> np.uint64(24)).astype(float) + 1) / float(1 << 40)
+    return np.maximum(0, ROUNDS - np.floor(-np.log(unit) / RATE)).astype(int)
+
+
+def _decomposed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges that lie together, and of each the smallest vertex joined to it by those edges.
+
+    The same decomposition as over the whole graph: clusters grow from shifted starts, contract, and the edges between them
+    are decomposed in turn; every level leaves a fraction of the super-vertices.
+    """
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = flat[: a.size], flat[a.size :]
-    root = np.arange(ids.size)
-    while True:  # hook the larger root under the smaller one, then jump pointers
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root = up
-        if np.array_equal(root, before):
-            return ids, ids[root]
+    group, names, level = np.arange(ids.size), ids, 0
+    while x.size:
+        n = names.size
+        start, own = _draw(names, level), np.arange(n)
+        centre = np.where(start == 0, own, n)  # n: not reached yet
+        for r in range(1, ROUNDS + 1):
+            offer = np.full(n, n)
+            np.minimum.at(offer, x, centre[y])
+            np.minimum.at(offer, y, centre[x])
+            late = np.where(offer < n, offer, np.where(start <= r, own, n))
+            centre = np.where(centre < n, centre, late)
+        centre = np.where(centre < n, centre, own)
+        kept, cluster = np.unique(centre, return_inverse=True)
+        group, names = cluster[group], names[kept]
+        x, y = cluster[x], cluster[y]
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+        x, y, level = pair[:, 0], pair[:, 1], level + 1
+    least = np.full(names.size, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    return ids, least[group]
 
 
 #: seconds of a position whose links lie together
 STRETCH = 20_000.0
-#: edges that the map-side combine holds at once
+#: edges that a task decomposes at once
 CHUNK = 400_000
 
 
@@ -61,7 +79,7 @@ def _chunk_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         t = pa.Table.from_batches(held)
-        ids, low = _roots(t.column(0).to_numpy(), t.column(1).to_numpy())
+        ids, low = _decomposed(t.column(0).to_numpy(), t.column(1).to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["v", "root"])
 
     for batch in batches:
