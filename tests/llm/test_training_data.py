@@ -305,6 +305,13 @@ def test_packing_meets_the_bound(spark, monkeypatch):
     sizes = [int(rng.lognormvariate(4, 1)) for _ in range(1500)] + [0, None, 5000, 512, 513, 1024]
     for _, n, bound in check_packing(spark, sizes, [("small", 512), ("large", 4096), (None, 5), ("bad", 0)]):
         assert n - bound <= 1
+    # exchanges close what rounding up in every partition leaves open
+    rounds = []
+    own = packing.Scratch.save
+    monkeypatch.setattr(packing.Scratch, "save", lambda self, df, name, **kw: (rounds.append(name), own(self, df, name, **kw))[1])
+    big = [rng.randint(180, 260) for _ in range(900)] + [rng.randint(1, 40) for _ in range(600)]
+    for _, n, bound in check_packing(spark, big, [("small", 512)]):
+        assert n - bound <= 1 and "round-1" in rounds
 
 
 def test_packing_small_cases(spark):
@@ -312,6 +319,7 @@ def test_packing_small_cases(spark):
     assert dict((k, n) for k, n, _ in check_packing(spark, [0, None], [("a", 10)]))["a"] == 1
     assert packing.packed(spark.createDataFrame([], "doc_id bigint, size bigint"), spark.createDataFrame([("a", 10)], "kind string, capacity_tokens int")).count() == 0
     assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3 and packing.lower_bound(np.array([], int), 10) == 0
+    assert packing.lower_bound(np.array([4] * 6), 10) == 3 and packing.lower_bound(np.array([5] * 6), 10) == 3
 
 
 def test_best_fit_against_trials():

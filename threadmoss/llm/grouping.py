@@ -30,7 +30,7 @@ ROUNDS = 3
 
 def _draw(vertex: np.ndarray, level: int) -> np.ndarray:
     """Rounds until a vertex starts a cluster of its own: an exponential draw fixed by vertex and level."""
-    x = (vertex.astype(np.uint64) + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (vertex.astype(np.uint64) + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
     unit = ((x >> np.uint64(24)).astype(float) + 1) / float(1 << 40)

@@ -8,7 +8,7 @@ from ..sources.tables import table
 from .encoding import decode_ids, encode_text, encoded
 from .grouping import link_groups
 from .linkage import LinkIndex, deliveries
-from .packing import packed, packing_report, sized
+from .packing import packed, packing_faults, packing_report, sized
 from .truncation import truncated, truncation_by_source
 
 
@@ -69,6 +69,11 @@ def p7_report(spark, sf):
     return packing_report(_packed(spark, sf), table(spark, sf, "container_kinds"))
 
 
+def p7_faults(spark, sf):
+    """What a packing must not have, counted by kind over the whole result."""
+    return packing_faults(_packed(spark, sf), sized(table(spark, sf, "documents")), table(spark, sf, "container_kinds"))
+
+
 def p8_found(spark, sf):
     return truncated(table(spark, sf, "documents")).select("doc_id")
 
@@ -78,7 +83,7 @@ def p8_by_source(spark, sf):
     return truncation_by_source(d, truncated(d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_sizes, p6_ids, p6_round_trip, p7_packed, p7_report, p8_found, p8_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_sizes, p6_ids, p6_round_trip, p7_packed, p7_report, p7_faults, p8_found, p8_by_source)}
 
 _HASH = r"regexp_replace(trim({c}), '^((version:\d+:)?sha-?256:)', '', 'i')"
 
@@ -100,6 +105,7 @@ _RECORDING = (
 )
 
 ORACLES: dict[str, str] = {
+    "p7_faults": "SELECT kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_over_capacity, CAST(0 AS BIGINT) AS n_wrong_pieces, CAST(0 AS BIGINT) AS n_wrong_sums FROM container_kinds",
     "p1_found": f"""WITH k AS (SELECT row_id, {_RECORDING} AS rec, meta_pos, meta_t, {_hex('tunables_hash')} AS tun, {_hex('image_sha256_hash')} AS h, covered_area, graph_edge_length, graph_node_count FROM result_table)
 SELECT min(a.row_id) AS first_row_id, b.row_id FROM k a JOIN k b ON a.rec = b.rec AND a.meta_pos = b.meta_pos AND a.meta_t = b.meta_t AND a.tun = b.tun AND a.row_id < b.row_id
 WHERE coalesce(a.h = b.h, false) OR coalesce({_near('covered_area')} AND {_near('graph_edge_length')} AND {_near('graph_node_count')}, false) GROUP BY b.row_id""",
