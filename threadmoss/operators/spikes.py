@@ -1,9 +1,12 @@
 """Implausible readings: spikes, stuck values and physically impossible ones, judged by their own source.
 
 Plan: bounds are plain expressions.  The frames of a source go, cut into blocks with a halo, into one row of arrays per
-block, so a source of any length is spread over many tasks.  Arrow batches of blocks are solved together in numpy by a
-non-decimated wavelet whose predict step is the time-aware interpolation between the medians on either side (a
-median-interpolating wavelet); its details at widths one to three are scaled by the source's own median absolute detail.
+block, so a source of any length is spread over many tasks.  Arrow batches of blocks are solved together in numpy by an
+undecimated wavelet of three levels: the predict step of level w interpolates in time between the medians on either side of
+a run of w frames, the detail is by how much the whole run leaves that prediction, and what remains without the largest
+detail of the levels is the approximation, the source's course.  A first pass takes the source's own coefficients: the
+median finest detail (noise) and the median change over as many frames as the widest level (growth), each block's medians
+combined to the source's by their numbers of readings.  The second pass holds every detail against a limit made of these two.
 A run of exactly zero first differences is a stuck value.  The verdicts are joined back to every row of the frame.
 """
 
@@ -16,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .frametime import FRAMES_PER_BLOCK, present, with_frame_seconds
 
 FIELDS = ("covered_area", "graph_edge_length", "graph_node_count")
@@ -24,9 +28,9 @@ HALO = 24
 WIDEST = 3
 #: a stuck value is the same for so many successive frames
 STUCK = 6
-#: details beyond so many robust deviations, and beyond so much on the log scale, are spikes
-DEVIATIONS = 6.0
-LEAST_DETAIL = 0.36
+#: a detail beyond so many robust deviations of the noise and so many times the growth over a widest run is a spike; a count may
+#: be off by its rounding besides
+DEVIATIONS, GROWTHS, ROUNDINGS = 4.0, 1.5, {"graph_node_count": 1.0}
 
 
 def _shift(a: np.ndarray, k: int) -> np.ndarray:
@@ -57,23 +61,31 @@ def _packed(keep: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, list[np.
     return order, [np.where(there, np.take_along_axis(a, order, axis=1), np.nan) for a in arrays]
 
 
-def robust_scale(t: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Per row, the scale of the finest details of readings above zero."""
-    before, after = _shift(y, -1), _shift(y, 1)
+def own_coefficients(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of packed series: noise (robust deviation of the finest details), growth over WIDEST frames, and readings above zero."""
+    before, after, later = _shift(y, -1), _shift(y, 1), _shift(y, WIDEST)
     tb, ta = _shift(t, -1), _shift(t, 1)
     with np.errstate(all="ignore"):
-        detail = y - (before + (after - before) * (t - tb) / (ta - tb))
-    detail = np.abs(np.where(y > 0, detail, np.nan))
-    out = np.zeros(y.shape[0])
-    some = np.isfinite(detail).any(axis=1)
-    if some.any():
-        out[some] = np.nanmedian(np.where(np.isfinite(detail[some]), detail[some], np.nan), axis=1)
-    return out * 1.4826 / 1.2247
-
-
-def details(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The largest excursion that each sample takes part in, and the course it left; rows are packed series."""
-    most, course = np.zeros_like(y), y.copy()
+        detail = np.abs(np.where(y > 0, y - (before + (after - before) * (t - tb) / (ta - tb)), np.nan))
+        change = np.abs(np.where((y > 0) & (later > 0), later - y, np.nan))
+
+    def median(a):
+        out, some = np.zeros(a.shape[0]), np.isfinite(a).any(axis=1)
+        if some.any():
+            out[some] = np.nanmedian(np.where(np.isfinite(a[some]), a[some], np.nan), axis=1)
+        return out
+
+    return median(detail) * 1.4826 / 1.2247, median(change), (y > 0).sum(axis=1)
+
+
+def transform(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Details (level, row, sample) of packed series and the approximation; per sample the largest detail and it add up to y.
+
+    A sample's detail at level w is that of the run of w samples around it that leaves its prediction the most, all to one side;
+    a run that doesn't return, as at a step, or that goes on growing has none.
+    """
+    found, approximation = np.zeros((WIDEST, *y.shape)), y.copy()
+    most = np.zeros_like(y)
     left, tl = _median3(_shift(y, -1), _shift(y, -2), _shift(y, -3)), _median3(_shift(t, -1), _shift(t, -2), _shift(t, -3))
     right0, tr0 = _median3(_shift(y, 1), _shift(y, 2), _shift(y, 3)), _median3(_shift(t, 1), _shift(t, 2), _shift(t, 3))
     for w in range(1, WIDEST + 1):
@@ -92,37 +104,39 @@ def details(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.where((e > 0).all(axis=0) | (e < 0).all(axis=0), np.abs(e).min(axis=0), 0.0)
         low = np.nan_to_num(low, nan=0.0)
         for o in range(w):
-            here, base = _shift(low, -o), _shift(bases[o], -o)
+            here, base = np.nan_to_num(_shift(low, -o)), _shift(bases[o], -o)
             better = here > most
             most = np.where(better, here, most)
-            course = np.where(better, base, course)
-    return most, course
+            approximation = np.where(better, base, approximation)
+            found[w - 1] = np.maximum(found[w - 1], here)
+    return found, approximation
 
 
-def spikes(t: np.ndarray, y: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spikes of each row (times t, logarithms y, NaN where absent): flags, course, threshold.
+def spikes(t: np.ndarray, y: np.ndarray, noise: np.ndarray, growth: np.ndarray, roundings: float = 0.0, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spikes of each row (times t, logarithms y, NaN where absent; the source's noise and growth): flags, course, threshold.
 
     What is flagged leaves the series before the next round, so that a spike doesn't hide its neighbours.
     """
     flag = np.zeros(y.shape, dtype=bool)
-    course = y.copy()
-    limit = np.full(y.shape[0], LEAST_DETAIL)
+    course, threshold = y.copy(), np.full(y.shape, np.nan)
+    own = (DEVIATIONS * noise + GROWTHS * growth)[:, None]
     for _ in range(rounds):
         keep = ~np.isnan(y) & ~np.isnan(t) & ~flag
         order, (tp, yp) = _packed(keep, t, y)
-        limit = np.maximum(LEAST_DETAIL, DEVIATIONS * robust_scale(tp, yp))
-        most, base = details(tp, yp)
+        found, base = transform(tp, yp)
+        most = found.max(axis=0)
+        limit = own + roundings * np.exp(-np.maximum(np.nan_to_num(base), 0.0))
         # only a sample that no neighbouring excursion explains better: the largest of each neighbourhood goes first
         peak = most
         for k in range(-WIDEST, WIDEST + 1):
             peak = np.fmax(peak, _shift(most, k))
-        hit = (most > limit[:, None]) & (most > 0.4 * peak)
+        hit = (most > limit) & (most > 0.4 * peak)
         if not hit.any():
             break
         rows, cols = np.nonzero(hit)
-        flag[rows, order[rows, cols]] = True
-        course[rows, order[rows, cols]] = base[rows, cols]
-    return flag, course, limit
+        for whole, part in ((flag, True), (course, base[rows, cols]), (threshold, limit[rows, cols])):
+            whole[rows, order[rows, cols]] = part
+    return flag, course, threshold
 
 
 def stuck_runs(v: np.ndarray) -> np.ndarray:
@@ -141,45 +155,69 @@ def stuck_runs(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _matrices(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """Blocks of like length as matrices in order of time: their rows in the batch, frame numbers, times, and each field's readings."""
+    size = pdf["meta_t"].map(len).to_numpy()
+    for lo, hi in ((0, 48), (48, 96), (96, 192), (192, 1 << 30)):
+        rows = np.flatnonzero((size > lo) & (size <= hi))
+        if not rows.size:
+            continue
+        n = int(size[rows].max())
+
+        def matrix(name, rows=rows, n=n):
+            out = np.full((rows.size, n), np.nan)
+            for k, r in enumerate(rows):
+                a = np.asarray(pdf[name].iat[r], dtype=float)
+                out[k, : a.size] = a
+            return out
+
+        m, t = matrix("meta_t"), matrix("slot_time")
+        for k, length in enumerate(size[rows]):  # a frame without a time stands where its number puts it
+            lost = np.isnan(t[k, :length])
+            if lost.any():
+                have = ~lost
+                late = np.median(t[k, :length][have] - m[k, :length][have]) if have.any() else 0.0
+                at = np.interp(m[k, :length][lost], m[k, :length][have], t[k, :length][have] - m[k, :length][have]) if have.sum() > 1 else late
+                t[k, :length][lost] = m[k, :length][lost] + at
+        order = np.argsort(np.where(np.isnan(t), np.inf, t), axis=1, kind="stable")
+        m, t = np.take_along_axis(m, order, axis=1), np.take_along_axis(t, order, axis=1)
+        mine = (np.arange(n)[None, :] < size[rows][:, None]) & (np.floor(m / FRAMES_PER_BLOCK) == pdf["block"].to_numpy()[rows][:, None])
+        yield rows, m, t, mine, {f: np.take_along_axis(matrix(f), order, axis=1) for f in FIELDS}
+
+
+def _log(v: np.ndarray) -> np.ndarray:
+    return np.log1p(np.where(v >= 0, v, np.nan))
+
+
+def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """pos, field, noise, growth, n of every block, its halo left out."""
+    for pdf in batches:
+        parts = []
+        for rows, _, t, mine, values in _matrices(pdf):
+            for f in FIELDS:
+                y = _log(values[f])
+                _, (tp, yp) = _packed(mine & ~np.isnan(y) & ~np.isnan(t), t, y)
+                noise, growth, n = own_coefficients(tp, yp)
+                parts.append(pd.DataFrame({"pos": pdf["pos"].to_numpy()[rows], "field": f, "noise": noise, "growth": growth, "n": n}))
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        size = pdf["meta_t"].map(len).to_numpy()
         parts = []
-        for lo, hi in ((0, 48), (48, 96), (96, 192), (192, 1 << 30)):  # blocks of like length share a matrix
-            rows = np.flatnonzero((size > lo) & (size <= hi))
-            if not rows.size:
-                continue
-            n = int(size[rows].max())
-
-            def matrix(name, rows=rows, n=n, pdf=pdf):
-                out = np.full((rows.size, n), np.nan)
-                for k, r in enumerate(rows):
-                    a = np.asarray(pdf[name].iat[r], dtype=float)
-                    out[k, : a.size] = a
-                return out
-
-            m, t = matrix("meta_t"), matrix("slot_time")
-            for k, length in enumerate(size[rows]):  # a frame without a time stands where its number puts it
-                lost = np.isnan(t[k, :length])
-                if lost.any():
-                    have = ~lost
-                    late = np.median(t[k, :length][have] - m[k, :length][have]) if have.any() else 0.0
-                    at = np.interp(m[k, :length][lost], m[k, :length][have], t[k, :length][have] - m[k, :length][have]) if have.sum() > 1 else late
-                    t[k, :length][lost] = m[k, :length][lost] + at
-            order = np.argsort(np.where(np.isnan(t), np.inf, t), axis=1, kind="stable")
-            m, t = np.take_along_axis(m, order, axis=1), np.take_along_axis(t, order, axis=1)
-            ok_slot = np.arange(n)[None, :] < size[rows][:, None]
-            mine = ok_slot & (np.floor(m / FRAMES_PER_BLOCK) == pdf["block"].to_numpy()[rows][:, None])
+        for rows, m, t, mine, values in _matrices(pdf):
             pos = np.broadcast_to(pdf["pos"].to_numpy()[rows][:, None], m.shape)
+            own = [{k: x[k] for k in x} for x in pdf["own"].to_numpy()[rows]]
             for f in FIELDS:
-                v = np.take_along_axis(matrix(f), order, axis=1)
+                v = values[f]
                 stuck = stuck_runs(v)
-                flag, course, limit = spikes(t, np.log1p(np.where(v >= 0, v, np.nan)))
+                noise, growth = (np.array([x[f"{c}_{f}"] or 0.0 for x in own]) for c in ("noise", "growth"))
+                flag, course, limit = spikes(t, _log(v), noise, growth, ROUNDINGS.get(f, 0.0))
                 keep = mine & ~np.isnan(v) & (flag | stuck)
                 if keep.any():
                     parts.append(pd.DataFrame({
-                        "pos": pos[keep], "meta_t": m[keep].astype("int32"), "field": f, "value": v[keep], "spike": flag[keep], "stuck": stuck[keep],
-                        "course": np.expm1(course[keep]), "threshold": np.broadcast_to(limit[:, None], m.shape)[keep],
+                        "pos": pos[keep], "meta_t": m[keep].astype("int32"), "field": f, "value": v[keep], "spike": flag[keep], "stuck": stuck[keep], "course": np.expm1(course[keep]), "threshold": limit[keep],
                     }))
         if parts:
             yield pd.concat(parts, ignore_index=True)
@@ -198,22 +236,26 @@ def implausible_readings(readings: DataFrame, positions: DataFrame) -> DataFrame
 
     A frame is (pos, meta_t); copies of a frame share its verdict where they hold the same reading.  Null and NaN readings
     are never cases, nor are zeros before growth, lasting steps or growth across gaps.  Rows without pos or meta_t are held
-    against the bounds alone.  Sources with fewer than three readings can't show a spike.
+    against the bounds alone.  Sources with fewer than three readings can't show a spike; stuck values are found in any source
+    with a reading above zero.
     """
     need = readings.select("row_id", "pos", "meta_t", "timepoint", "area", "calibration", *[F.col(f).cast("double").alias(f) for f in FIELDS])
     rows = need.withColumns({f"_bad_{f}": impossible(f) for f in FIELDS})
     timed = with_frame_seconds(rows, positions).where("pos is not null and meta_t is not null")
-    frames = timed.groupBy("pos", "meta_t").agg(
-        F.min(F.col("seconds") / F.col("interval_s")).alias("slot_time"),
-        # impossible readings are no part of the source's course
-        F.min_by(F.struct(*[F.when(~F.col(f"_bad_{f}") & ~F.isnan(f), F.col(f)).alias(f) for f in FIELDS]), "row_id").alias("v"),
-    )
+    # the first reading of a frame that is there and possible; impossible readings are no part of the source's course
+    read = lambda f: F.when(~F.col(f"_bad_{f}") & present(F.col(f)), F.col("row_id"))
+    frames = timed.groupBy("pos", "meta_t").agg(F.min(F.col("seconds") / F.col("interval_s")).alias("slot_time"), *[F.min_by(f, read(f)).alias(f) for f in FIELDS])
     block = F.floor(F.col("meta_t") / FRAMES_PER_BLOCK)
     reach = F.array_distinct(F.array(block, F.floor((F.col("meta_t") - HALO) / FRAMES_PER_BLOCK), F.floor((F.col("meta_t") + HALO) / FRAMES_PER_BLOCK)))
-    placed = frames.select("pos", "meta_t", "slot_time", "v.*", F.explode(reach).alias("block"))
+    placed = frames.select("pos", "meta_t", "slot_time", *FIELDS, F.explode(reach).alias("block"))
     seq = placed.groupBy("pos", "block").agg(F.array_sort(F.collect_list(F.struct("meta_t", "slot_time", *FIELDS))).alias("at"))
     arrays = seq.select("pos", "block", F.col("at.slot_time").alias("slot_time"), F.col("at.meta_t").alias("meta_t"), *[F.col(f"at.{f}").alias(f) for f in FIELDS])
-    verdicts = arrays.mapInPandas(_judge, "pos int, meta_t int, field string, value double, spike boolean, stuck boolean, course double, threshold double")
+    arrays = Scratch(readings.sparkSession, "spikes").save(arrays, "blocks")  # read by both passes
+    learned = arrays.mapInPandas(_learn, "pos int, field string, noise double, growth double, n bigint").where("n > 0")
+    of_source = lambda c, f: F.expr(f"percentile({c}, 0.5, n) FILTER (WHERE field = '{f}')").alias(f"{c}_{f}")
+    own = learned.groupBy("pos").agg(*[of_source(c, f) for f in FIELDS for c in ("noise", "growth")])
+    judged = arrays.join(own.select("pos", F.struct(*[f"{c}_{f}" for f in FIELDS for c in ("noise", "growth")]).alias("own")), "pos")
+    verdicts = judged.mapInPandas(_judge, "pos int, meta_t int, field string, value double, spike boolean, stuck boolean, course double, threshold double")
     long = rows.select("row_id", "pos", "meta_t", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"_bad_{f}").alias("bad")) for f in FIELDS])).alias("r")).select("row_id", "pos", "meta_t", "r.*")
     shared = long.where("not bad").join(verdicts.withColumnRenamed("value", "v0"), ["pos", "meta_t", "field"]).where("value = v0")
     return long.where("bad").select("row_id", "pos", "field", F.lit("impossible").alias("reason"), "value", F.lit(None).cast("double").alias("course")).unionByName(
