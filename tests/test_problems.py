@@ -103,6 +103,36 @@ def test_implausible(spark, plan):
     assert spikes.implausible_readings(rows(spark, [], clash=False), plan).count() == 0
 
 
+def test_transform_adds_up_and_keeps_steps():
+    rng = np.random.default_rng(4)
+    t = np.tile(np.arange(60.0), (3, 1))
+    y = np.stack([np.cumsum(rng.random(60)), np.where(np.arange(60) < 30, 1.0, 4.0), np.full(60, 2.0)])
+    found, rest = spikes.transform(t, y)
+    assert found.shape == (spikes.WIDEST, 3, 60) and not found[:, 1].any() and not found[:, 2].any()
+    y[2, 10], y[2, 20:22], y[2, 40:43] = 5.0, 0.5, 3.0
+    found, rest = spikes.transform(t, y)
+    assert np.allclose(rest[2], 2.0) and found[0, 2, 10] == 3.0 and (found[:2, 2, 20:22].max(0) == 1.5).all() and (found[:, 2, 40:43].max(0) == 1.0).all()
+
+
+def test_sources_are_judged_by_their_own_behaviour(spark, plan):
+    """The same excursion is a spike on a quiet source and noise on a restless one, however many blocks the source has."""
+    rng = np.random.default_rng(6)
+    quiet = [(m, m * 600.0, 100 * 1.001**m, 50, 100 * 1.001**m) for m in range(1200)]
+    restless = [(m, m * 600.0, float(100 * np.exp(rng.normal(0, 0.2))), 50, float(100 * np.exp(rng.normal(0, 0.2)))) for m in range(1200)]
+    for s in (quiet, restless):
+        s[900] = (900, 900 * 600.0, s[899][2] * 1.3, 50, s[899][4])
+    spikes_of = lambda s: {r["row_id"] for r in spikes.implausible_readings(rows(spark, s, clash=False), plan).where("reason = 'spike' and field = 'graph_edge_length'").collect()}
+    assert spikes_of(quiet) == {901} and len(spikes_of(restless)) < 6 and 901 not in spikes_of(restless)
+
+
+def test_first_reading_that_is_there_counts(spark, plan):
+    s = [(m, m * 600.0, 100 * 1.02**m, 30, 50.0 + m) for m in range(40)]
+    s.insert(20, (20, 20 * 600.0, None, 30, 70.0))  # an earlier copy without the reading
+    s[21] = (20, 20 * 600.0, 900.0, 30, 70.0)
+    found = spikes.implausible_readings(rows(spark, s, clash=False), plan).where("reason = 'spike'").collect()
+    assert [(r["row_id"], r["field"]) for r in found] == [(22, "graph_edge_length")]
+
+
 def test_zeros_before_growth_and_steps_are_fine(spark, plan):
     s = [(m, m * 600.0, 0.0 if m < 20 else 80.0 + m if m < 40 else 400.0 + m, 0 if m < 20 else 9, 0.0 if m < 20 else 50.0 + m) for m in range(60)]
     s = [(m, t, v, n + (m % 3 if n else 0), c) for m, t, v, n, c in s]
@@ -136,6 +166,25 @@ def test_drift(spark):
     assert schema_drift.schema_changes(raw.where("false"), cat).count() == 0
 
 
+def test_branches_and_nested_paths(spark):
+    cat = spark.createDataFrame([("image", "int", ""), ("gain", "double", "")], "field string, data_type string, meaning string")
+    raw = _raw(spark, [
+        ("a", 2, [{"image": {"id": 7, "at": [1, "x", None]}, "gain": True}, {"image": 3, "gain": [1.5, {"u": "V"}]}]),
+        ("a", 1, [{"picture": {"id": "7"}, "gain": None}, "{broken", None]),
+    ])
+    names = {"image": ("picture",)}
+    got = {(r["path"], r["kind"]): (r["n_values"], r["n_files"], r["first_file_no"]) for r in schema_drift.path_alternatives(raw, cat, names).collect()}
+    assert got == {
+        ("image", "object"): (2, 2, 2), ("image", "whole"): (1, 1, 1), ("image.id", "whole"): (1, 1, 1), ("image.id", "text"): (1, 1, 2), ("image.at", "list"): (1, 1, 1), ("image.at[]", "whole"): (1, 1, 1), ("image.at[]", "text"): (1, 1, 1),
+        ("gain", "truth"): (1, 1, 1), ("gain", "list"): (1, 1, 1), ("gain[]", "fraction"): (1, 1, 1), ("gain[]", "object"): (1, 1, 1), ("gain[].u", "text"): (1, 1, 1),
+    }
+    u = {r["record_id"]: r for r in schema_drift.unified_table(raw, cat, names).collect()}
+    assert u[1]["gain_branch"]["truth"] is True and u[1]["gain"] is None and u[1]["image"] == 7 and json.loads(u[1]["image_branch"]["json"])["id"] == 7
+    assert u[2]["image_branch"]["whole"] == 3 and u[2]["image_branch"]["json"] is None and u[3]["gain_branch"] is None and u[3]["image"] == 7
+    assert schema_drift.path_alternatives(raw.where("false"), cat).count() == 0
+    assert {r["path"] for r in schema_drift.path_alternatives(raw, cat, {}).collect()} >= {"picture", "picture.id"}
+
+
 def test_unified_keeps_further_fields(spark, tmp_path):
     from threadmoss.plans.problem_queries import p3_unified
 
