@@ -373,6 +373,24 @@ def test_copies_of_a_band_all_meet(spark):
     assert found == {(a, b) for a in ("cut", "longer", "longest") for b in alike if a != b}
 
 
+def test_texts_that_lost_most_of_themselves_meet_their_copies(spark):
+    """Cut to a tenth, with a slip near the end, beside a copy; and recall of all pairs of the reviews by which the longer holds the shorter."""
+    from threadmoss.scratch import Scratch
+
+    w = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    cut, slip = w[:30], [*w[:44], "slip", *w[45:50]]
+    docs = spark.createDataFrame([(i, " ".join(t), None, None) for i, t in enumerate([cut, slip, [*w, "end."]])], "doc_id bigint, text string, source string, title string")
+    texts = truncation.texts_of(docs)
+    verdicts = {r["text_id"]: r["n_on"] for r in truncation.copy_verdicts(truncation.near_copies(texts, Scratch(spark, "t"))).collect()}
+    assert len(verdicts) == 2 and all(verdicts.values())
+    sets = Scratch(spark, "t")
+    texts = sets.save(truncation.texts_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), "texts")
+    found = {(r["text_id"], r["copy_id"]) for r in truncation.near_copies(texts, sets).collect()}
+    rows = [(r["text_id"], r["open"], set(r["s"])) for r in sets.load("shingles").collect()]
+    want = {(a, b) for a, is_open, s in rows if is_open for b, _, t in rows if a != b and len(t) >= 0.8 * len(s) and len(s & t) >= 0.8 * min(len(s), len(t))}
+    assert want and found <= want and len(found) >= 0.9 * len(want), (len(found), len(want))
+
+
 @pytest.mark.parametrize("cell", [1, 4096])
 def test_band_cells(spark, monkeypatch, cell):
     from threadmoss.scratch import Scratch
@@ -399,7 +417,7 @@ def test_copies_are_aligned(spark):
     assert got == {i: (on, end) for i, (_, _, on, end) in enumerate(cases) if on + end}
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_clusters", "p4_found", "p4_sizes", "p6_ids", "p6_round_trip", "p7_packed", "p7_report", "p8_found", "p8_by_source"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_clusters", "p4_found", "p4_sizes", "p6_ids", "p6_round_trip", "p7_packed", "p7_report", "p8_found", "p8_by_source", "p8_reasons"])
 def test_queries_run(name, spark, data):
     from threadmoss.llm.queries import QUERIES
 

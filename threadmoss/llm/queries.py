@@ -83,7 +83,12 @@ def p8_by_source(spark, sf):
     return truncation_by_source(d, truncated(d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_sizes, p6_ids, p6_round_trip, p7_packed, p7_report, p7_faults, p8_found, p8_by_source)}
+def p8_reasons(spark, sf):
+    """What told a cut, by source."""
+    return truncated(table(spark, sf, "documents")).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n_cut"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_sizes, p6_ids, p6_round_trip, p7_packed, p7_report, p7_faults, p8_found, p8_by_source, p8_reasons)}
 
 _HASH = r"regexp_replace(trim({c}), '^((version:\d+:)?sha-?256:)', '', 'i')"
 
