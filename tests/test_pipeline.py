@@ -1,4 +1,7 @@
+import base64
+import hashlib
 import struct
+import xml.etree.ElementTree
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -58,9 +61,11 @@ TUNED = dict(ThresholdingTechnique="sauvola", ThresholdingParameters="window_siz
 
 
 def test_growth_is_tracked_end_to_end(spark, tmp_path):
-    rows = [(1, t, t * 600.0, 40, 40, 1.0, im.astype(float).ravel().tolist()) for t, im in enumerate(growing())] + [(2, 0, 0.0, 3, 3, 1.0, [0.0] * 9), (3, 0, 0.0, 5, 5, 1.0, [1.0] * 25)]
-    frames = spark.createDataFrame(rows, "pos int, t int, timepoint double, height int, width int, calibration double, pixels array<double>")
-    a = analyse(frames, Tunables(**TUNED))
+    rows = [(1, t, t * 600.0, 40, 40, 1.0, im.astype(float).ravel().tolist()) for t, im in enumerate(growing())] + [(2, 0, 0.0, 3, 3, 1.0, [0.0] * 9), (3, 0, 0.0, 5, 5, 1.0, [1.0] * 25), (4, 0, 0.0, 5, 5, 0.0, [1.0] * 25)]
+    frames = spark.createDataFrame([(*r, "u1") for r in rows], "pos int, t int, timepoint double, height int, width int, calibration double, pixels array<double>, dtype string")
+    a = analyse(frames, Tunables(**TUNED, StoreImage=True), "note")
+    with pytest.raises(NotImplementedError):
+        analyse(frames, Tunables(BoxDetection=True))
     kept = {r["t"]: r for r in a.frames.where("pos = 1").collect()}
     assert len(kept) == 8 and a.frames.where("pos = 2").count() == 0
     assert all(r["graph_node_count"] == r["graph_endpoint_count"] + r["graph_junction_count"] and r["graph_endpoint_count"] == 2 for r in kept.values())
@@ -68,6 +73,16 @@ def test_growth_is_tracked_end_to_end(spark, tmp_path):
     assert all(b > a for a, b in zip(lengths, lengths[1:]))
     steps = a.steps.collect()
     assert {s["pos"] for s in steps} == {1} and len({s["track_id"] for s in steps}) >= 1
+    assert a.failures.select("pos", "t").collect() == [(4, 0)] and "calibration" in a.failures.first()["failure"]
+    first = a.frames.where("pos = 1 and t = 0").first()
+    assert first["image_hash"] == base64.b64encode(hashlib.sha256(growing()[0].tobytes()).digest()).decode() and first["metadata"] == "note" and len(first["image"]) == 39 * 39
+    n = a.overall_nodes.where("pos = 1")
+    assert n.count() == n.agg(F.max("node")).first()[0] + 1 == 14 and n.agg(F.max("z")).first()[0] == 6 * 600.0
+    edges = a.overall_edges.where("pos = 1").collect()
+    assert sum(e["weight"] is not None for e in edges) == 7 and {(e["source"], e["target"]) for e in edges if e["weight"] is None} == {(2 * k["i"] + k["node_id"], 2 * k["i"] + 2 + k["next_id"]) for k in a.links.where("pos = 1 and i < 6 and next_id >= 0").collect()}
+    lines = [r["line"] for r in a.overall_graphml.where("pos = 1").orderBy("part").collect()]
+    assert len(list(xml.etree.ElementTree.fromstring("".join(lines))[-1])) == 14 + len(edges)
+    assert {r["family"] for r in a.track_fits_optimized.collect()} == {r["family"] for r in a.track_fits.where("pvalue is not null").collect()}
     a.write(str(tmp_path / "out"), "/data/a.tif")
     assert read_results(spark, str(tmp_path / "out"), "frames").where("pos = 1").count() == 8
     with pytest.raises(Exception, match="(?i)exists"):

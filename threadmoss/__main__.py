@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     spark.dataSource.register(TiffStack)
     frames = spark.read.format("tiff_stack").load(args.input)
     frames = frames.where(in_range(F.col("t"), args.timepoints) & in_range(F.col("pos"), args.positions))
-    analyse(frames, t).write(args.output, os.path.basename(path_and_options(args.input)[0]))
+    analyse(frames, t, args.meta).write(args.output, os.path.basename(path_and_options(args.input)[0]))
     return 0
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.neighbours import with_rank
+from ..scratch import Scratch
 
 #: logarithm that stands for a non-finite one when a linear window is searched
 LOWEST_LOG = float(np.log(np.finfo(float).eps))
@@ -90,6 +91,7 @@ def optimized_regression(series: DataFrame, keys: list[str], x: str, y: str, sha
     s = series.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), v.alias("_y"))
     s = with_rank(s, keys, ["_x", "_y"], F.floor(F.col("_x") / F.lit(bucket))).withColumnsRenamed({"rank": "_i", "group_n": "_n"})
     s = s.withColumn("_w", F.greatest(F.lit(3), F.floor(F.col("_n") * share)))
+    s = Scratch(series.sparkSession, "series").save(s, "ranked")  # read for the blocks and for the fit
     blocks = s.groupBy(*keys, F.floor(F.col("_i") / F.col("_w")).alias("_b")).agg(F.min("_i").alias("b"), (F.max("_i") + 1).alias("e"), linregress(F.col("_x"), F.col("_y"))["rvalue"].alias("r"), F.max("_n").alias("_n"))
     span = blocks.groupBy(*keys).agg(F.min(F.when(F.col("r") > least, F.col("b"))).alias("begin_index"), F.max(F.when(F.col("r") > least, F.col("e"))).alias("end_index"), F.max("_n").alias("_n"))
     x_at = s.join(span.drop("_n"), keys)

@@ -76,6 +76,46 @@ def temporal_edges(links: DataFrame) -> DataFrame:
     return x.select("pos", (F.col("first_node") + F.col("node_id")).alias("source"), (F.col("following.first_node") + F.col("next_id")).alias("target"))
 
 
+def overall_graph(ordered: DataFrame, links: DataFrame, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The union of a position's frames but the last as (nodes, edges), rows of pos in any number of tasks.
+
+    nodes: pos, node (numbered through all frames), i, x, y, z = timepoint * scale; edges: pos, source, target, weight, which is
+    null for edges through time, from a node to its successor.  ``ordered`` needs pos, i, timepoint, nodes, edges; ``links`` pos, i,
+    node_id, next_id.  Frames without nodes take part with none.
+    """
+    f = ordered.select("pos", "i", "timepoint", F.size("nodes").alias("n"))
+    # running sums over blocks of frames, so that no position is summed in one task
+    f = f.withColumn("_b", F.floor(F.col("i") / 4096))
+    block = f.groupBy("pos", "_b").agg(F.sum("n").alias("_sum"), F.max("i").alias("_last"))
+    over = Window.partitionBy("pos").orderBy("_b")
+    block = block.select("pos", "_b", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.max("_last").over(Window.partitionBy("pos")).alias("_last"))
+    within = Window.partitionBy("pos", "_b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    f = f.withColumn("_here", F.coalesce(F.sum("n").over(within), F.lit(0))).join(block, ["pos", "_b"]).where("i < _last")
+    offset = f.select("pos", "i", (F.col("timepoint") * scale).alias("z"), (F.col("_before") + F.col("_here")).alias("first"))
+    part = ordered.select("pos", "i", "nodes", "edges").join(offset, ["pos", "i"])
+    n = part.select("pos", "i", "z", "first", F.explode("nodes").alias("n"))
+    nodes = n.select("pos", (F.col("first") + F.col("n.node_id")).alias("node"), "i", F.col("n.x").alias("x"), F.col("n.y").alias("y"), "z")
+    e = part.select("pos", "first", F.explode("edges").alias("e"))
+    inside = e.select("pos", (F.col("first") + F.col("e.a")).alias("source"), (F.col("first") + F.col("e.b")).alias("target"), F.col("e.weight").alias("weight"))
+    after = offset.select("pos", (F.col("i") - 1).alias("i"), F.col("first").alias("after"))
+    through = links.where("next_id >= 0").select("pos", "i", "node_id", "next_id").join(offset, ["pos", "i"]).join(after, ["pos", "i"])
+    through = through.select("pos", (F.col("first") + F.col("node_id")).alias("source"), (F.col("after") + F.col("next_id")).alias("target"), F.lit(None).cast("double").alias("weight"))
+    return nodes, inside.unionByName(through)
+
+
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """pos, part, line of each position's GraphML: in order of part, head (0), nodes (1), edges (2) and end (3) make a document, written by any number of tasks."""
+    s = lambda c: F.col(c).cast("string")
+    data = lambda key: F.concat(F.lit(f'<data key="{key}">'), s(key), F.lit("</data>"))
+    keys = "".join(f'<key id="{k}" for="{"edge" if k == "weight" else "node"}" attr.name="{k}" attr.type="double"/>' for k in ("x", "y", "z", "weight"))
+    head = f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">'
+    each = nodes.select("pos").unionByName(edges.select("pos")).distinct()
+    frame = each.select("pos", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit(head).alias("line")), F.struct(F.lit(3).alias("part"), F.lit("</graph></graphml>").alias("line")))).alias("f")).select("pos", "f.*")
+    node = nodes.select("pos", F.lit(1).alias("part"), F.concat(F.lit('<node id="n'), s("node"), F.lit('">'), data("x"), data("y"), data("z"), F.lit("</node>")).alias("line"))
+    edge = edges.select("pos", F.lit(2).alias("part"), F.concat(F.lit('<edge source="n'), s("source"), F.lit('" target="n'), s("target"), F.lit('">'), F.coalesce(data("weight"), F.lit("")), F.lit("</edge>")).alias("line"))
+    return frame.unionByName(node).unionByName(edge)
+
+
 def graphml_of_links(links: DataFrame) -> DataFrame:
     """pos, t, graphml: one small document per frame with its nodes and their successors, in order of node."""
     n = links.groupBy("pos", "t", "node_id").agg(F.max("next_id").cast("int").alias("next_id"))

@@ -81,13 +81,13 @@ def step_fates(steps: DataFrame, tunables: Tunables = Tunables()) -> DataFrame:
 def track_table(steps: DataFrame, tunables: Tunables = Tunables()) -> DataFrame:
     """One row per kept track: extremes, duration, count, and grown length.
 
-    Kept are tracks with enough points, a sufficient greatest length, and sufficient growth from the first to the last point.
+    Kept are tracks with enough points, a sufficient greatest length, and a sufficient span from the least to the greatest length.
     """
     t = steps.groupBy("pos", "track_id").agg(
         F.min("timepoint").alias("timepoint_begin"), F.max("timepoint").alias("timepoint_end"),
         F.min("distance").alias("minimum_distance"), F.max("distance").alias("maximum_distance"),
         F.min("distance_num").alias("minimum_distance_num"), F.max("distance_num").alias("maximum_distance_num"),
-        F.count(F.lit(1)).alias("count"), (F.max_by("distance", F.struct("timepoint", "i", "distance")) - F.min_by("distance", F.struct("timepoint", "i", "distance"))).alias("grown"),
+        F.count(F.lit(1)).alias("count"), (F.max("distance") - F.min("distance")).alias("grown"),
     )
     t = t.withColumn("timepoint_center", F.col("timepoint_begin") + (F.col("timepoint_end") - F.col("timepoint_begin")) / 2).withColumn("duration", F.col("timepoint_end") - F.col("timepoint_begin"))
     kept = (F.col("count") >= tunables.TrackingMinimumTrackedPointCount) & (F.col("maximum_distance") >= tunables.TrackingMinimalMaximumLength) & (F.col("grown") >= tunables.TrackingMinimalGrownLength) & (F.col("grown") != 0)

@@ -62,7 +62,7 @@ STEPS = f"""steps AS (SELECT DISTINCT pos, track_id, i, timepoint, node_id_a, no
   FROM track_steps WHERE {_fin('distance')} IS NOT NULL)"""
 TRACKS = f"""{STEPS}, tracks AS (SELECT pos, track_id, min(timepoint) AS timepoint_begin, max(timepoint) AS timepoint_end, min(distance) AS minimum_distance, max(distance) AS maximum_distance,
   min(distance_num) AS minimum_distance_num, max(distance_num) AS maximum_distance_num, count(*) AS "count",
-  arg_max(distance, (timepoint, i, distance)) - arg_min(distance, (timepoint, i, distance)) AS grown FROM steps GROUP BY pos, track_id),
+  max(distance) - min(distance) AS grown FROM steps GROUP BY pos, track_id),
 kept AS (SELECT *, timepoint_begin + (timepoint_end - timepoint_begin) / 2 AS timepoint_center, timepoint_end - timepoint_begin AS duration FROM tracks
   WHERE "count" >= 5 AND maximum_distance >= 10 AND grown >= 5 AND grown <> 0)"""
 
@@ -138,10 +138,17 @@ def regress_position_optimized(spark, sf):
     return _fits(tr.position_regressions_optimized(table(spark, sf, "result_table")))
 
 
-@query()
+_LN = "CASE WHEN {d} > 0 THEN ln({d}) ELSE CAST('-infinity' AS DOUBLE) END"
+_FAMILY_SERIES = (
+    f"WITH {TRACKS}, j AS (SELECT s.pos, s.track_id, s.timepoint AS x, s.distance AS d, s.distance / nullif(k.minimum_distance, 0) AS nd FROM steps s JOIN kept k USING (pos, track_id)), series AS ("
+    + " UNION ALL ".join(f"SELECT pos, track_id, '{f}' AS family, x, {y} AS y FROM j" for f, y in zip(tr.FAMILIES, ("d", "nd", _LN.format(d="d"), _LN.format(d="nd")))) + ")"
+)
+
+
+@query(_optimized_sql(_FAMILY_SERIES, "pos, track_id, family"))
 def regress_tracks_optimized(spark, sf):
     s = _steps(spark, sf)
-    return tr.track_regressions_optimized(s, tr.track_table(s))
+    return _fits(tr.track_regressions_optimized(s, tr.track_table(s)))
 
 
 @query()
@@ -215,7 +222,10 @@ def overall_graph_offsets(spark, sf):
     return gr.overall_offsets(table(spark, sf, "node_links"))
 
 
-@query()
+@query("""WITH f AS (SELECT pos, t, min(timepoint) AS tp, count(DISTINCT node_id) AS n FROM node_links GROUP BY pos, t),
+o AS (SELECT pos, t, tp, coalesce(sum(n) OVER w, 0) AS first_node, row_number() OVER (PARTITION BY pos ORDER BY tp DESC, t DESC) AS back, lead(t) OVER (PARTITION BY pos ORDER BY tp, t) AS next_t FROM f WINDOW w AS (PARTITION BY pos ORDER BY tp, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT * FROM o WHERE back > 1), l AS (SELECT pos, t, node_id, max(next_id) AS next_id FROM node_links GROUP BY pos, t, node_id)
+SELECT l.pos, CAST(a.first_node + l.node_id AS BIGINT) AS source, CAST(b.first_node + l.next_id AS BIGINT) AS target FROM l JOIN k a ON a.pos = l.pos AND a.t = l.t JOIN k b ON b.pos = a.pos AND b.t = a.next_t WHERE l.next_id >= 0""")
 def overall_graph_edges(spark, sf):
     return gr.temporal_edges(table(spark, sf, "node_links"))
 
@@ -273,10 +283,11 @@ def provenance(spark, sf):
     return table(spark, sf, "result_table").groupBy("tunables_hash").agg(F.count(F.lit(1)).alias("n_frames"), F.count_distinct("pos").alias("n_positions"))
 
 
-@query("SELECT row_id, graph_edge_length, graph_edge_count, graph_node_count, graph_junction_count, graph_endpoint_count, graph_node_count = graph_junction_count + graph_endpoint_count AS adds_up FROM result_table")
+@query(f"SELECT row_id, {_fin('graph_edge_length')} AS graph_edge_length, {_fin('graph_edge_count')} AS graph_edge_count, graph_node_count, graph_junction_count, graph_endpoint_count, graph_node_count = graph_junction_count + graph_endpoint_count AS adds_up FROM result_table")
 def wildcard_project(spark, sf):
     r = table(spark, sf, "result_table")
-    return rs.project(r, ["row_id", "graph_*_length", "graph_*_count"]).withColumn("adds_up", F.expr("graph_node_count = graph_junction_count + graph_endpoint_count"))
+    p = rs.project(r, ["row_id", "graph_*_length", "graph_*_count"])
+    return p.select(*[tr.finite(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in p.dtypes]).withColumn("adds_up", F.expr("graph_node_count = graph_junction_count + graph_endpoint_count"))
 
 
 @query(f"WITH {TRACKS} SELECT pos, track_id, CAST(dense_rank() OVER (PARTITION BY pos ORDER BY track_id) - 1 AS INTEGER) AS aux_table, format('track_table_aux_tables_{{:09d}}', dense_rank() OVER (PARTITION BY pos ORDER BY track_id) - 1) AS individual_table FROM kept")
@@ -311,13 +322,15 @@ def result_overview(spark, sf):
     return rounded(rs.overview(table(spark, sf, "result_table")))
 
 
-@query(f"WITH {TRACKS} SELECT k.pos, p.filename, count(*) AS n_tracks, round(max(maximum_distance), 6) + 0.0 AS longest FROM kept k JOIN positions p ON k.pos = p.pos GROUP BY k.pos, p.filename")
+@query(f"WITH {TRACKS} SELECT p.filename, count(DISTINCT k.pos) AS n_positions, count(*) AS n_tracks, round(max(maximum_distance), 6) + 0.0 AS longest FROM kept k JOIN positions p ON k.pos = p.pos GROUP BY p.filename")
 def tracks_by_recording(spark, sf):
     k = tr.track_table(_steps(spark, sf)).join(table(spark, sf, "positions").select("pos", "filename"), "pos")
-    return rounded(k.groupBy("pos", "filename").agg(F.count(F.lit(1)).alias("n_tracks"), F.max("maximum_distance").alias("longest")))
+    return rounded(k.groupBy("filename").agg(F.count_distinct("pos").alias("n_positions"), F.count(F.lit(1)).alias("n_tracks"), F.max("maximum_distance").alias("longest")))
 
 
-@query()
+@query("""WITH n AS (SELECT pos, t, node_id, max(next_id) AS next_id FROM node_links GROUP BY pos, t, node_id)
+SELECT pos, t, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">' || string_agg('<node id="n' || node_id || '"/>', '' ORDER BY node_id)
+|| coalesce(string_agg('<edge source="n' || node_id || '" target="s' || CAST(next_id AS INTEGER) || '"/>', '' ORDER BY node_id) FILTER (next_id >= 0), '') || '</graph></graphml>' AS graphml FROM n GROUP BY pos, t""")
 def graphml_frames(spark, sf):
     """GraphML of every frame's correspondences: nodes, and edges to the nodes of the next frame."""
     return gr.graphml_of_links(table(spark, sf, "node_links"))
@@ -391,12 +404,18 @@ _THRESHOLD_SQL = {
 }
 
 
+#: SQL: box statistics of frames brought to 0-1, the threshold brought back to the frame's own values
+_PHANSALKAR_SQL = "WITH " + BOX.replace("p AS (SELECT pos, t,", "p0 AS (SELECT pos, t,", 1).replace("e AS (SELECT pos, t,", "p AS (SELECT pos, t, y, x, (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) AS v, max(v) OVER w - min(v) OVER w AS wide, min(v) OVER w AS low FROM p0 WINDOW w AS (PARTITION BY pos, t)),\ne AS (SELECT pos, t,", 1) + " SELECT b.pos, b.t, b.y, b.x, round(mean * (1 + 2.0 * exp(-10.0 * mean) + 0.25 * (std / 0.5 - 1)) * wide + low, 5) + 0.0 AS threshold FROM b JOIN p USING (pos, t, y, x)"
+
+
 def _threshold_query(technique):
     def run(spark, sf):
         return fr.thresholds(_vectors(spark, sf), technique, window_size=2).select("pos", "t", "y", "x", (F.round("threshold", 5) + 0.0).alias("threshold"))
 
     run.__name__ = f"threshold_{technique}"
     sql = _THRESHOLD_SQL.get(technique)
+    if technique == "phansalkar":
+        return query(_PHANSALKAR_SQL)(run)
     return query(f"WITH {BOX} SELECT pos, t, y, x, round({sql}, 5) + 0.0 AS threshold FROM b WINDOW w AS (PARTITION BY pos, t)" if sql else None)(run)
 
 

@@ -1,11 +1,13 @@
 """Written intermediate tables: they cut lineage and survive the loss of an executor.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``, which all executors share.  Only where that
-setting is absent (tests, a laptop) a local temporary folder stands in.
+setting is absent and the master is local (tests, a laptop) a local temporary folder stands in, removed at exit.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,12 +17,16 @@ _FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one temporary folder per process where none is set."""
+    """The cluster's shared folder, or for a local master one temporary folder per process; a cluster without one is an error."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="threadmoss-"))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="threadmoss-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _FALLBACK.append("file://" + folder)
     return _FALLBACK[0]
 
 
@@ -48,7 +54,7 @@ class Scratch:
             reader = reader.schema(like.schema)
         return reader.parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, name: str = "") -> None:
+        """Delete a table that no later step reads, or all tables of the run once its results are stored."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -38,9 +38,10 @@ def page_offsets(f) -> tuple[str, list[int]]:
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
     if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
         raise ValueError("not a baseline TIFF file")
-    offsets, at = [], struct.unpack(order + "I", head[4:])[0]
-    while at and at not in offsets:
+    offsets, seen, at = [], set(), struct.unpack(order + "I", head[4:])[0]
+    while at and at not in seen:
         offsets.append(at)
+        seen.add(at)
         f.seek(at)
         n = struct.unpack(order + "H", f.read(2))[0]
         f.seek(at + 2 + 12 * n)
