@@ -109,9 +109,13 @@ _RECORDING = (
     r" '(\.ome)?\.tiff?\s*$', ''), '(\s*\(\d+\)|[ _-]copy)+$', ''), '[\s_.-]+', '_', 'g')"
 )
 
+_BLOCKS = f"k AS (SELECT row_id, {_RECORDING} AS rec, meta_pos, meta_t, {_hex('tunables_hash')} AS tun, {_hex('image_sha256_hash')} AS h, covered_area, graph_edge_length, graph_node_count FROM result_table)"
+_ONE_BLOCK = "a.rec = b.rec AND a.meta_pos = b.meta_pos AND a.meta_t = b.meta_t AND a.tun = b.tun"
+_ONE_FRAME = f"(coalesce(a.h = b.h, false) OR coalesce({_near('covered_area')} AND {_near('graph_edge_length')} AND {_near('graph_node_count')}, false))"
+
 ORACLES: dict[str, str] = {
     "p7_faults": "SELECT kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_over_capacity, CAST(0 AS BIGINT) AS n_wrong_pieces, CAST(0 AS BIGINT) AS n_wrong_sums FROM container_kinds",
-    "p1_found": f"""WITH k AS (SELECT row_id, {_RECORDING} AS rec, meta_pos, meta_t, {_hex('tunables_hash')} AS tun, {_hex('image_sha256_hash')} AS h, covered_area, graph_edge_length, graph_node_count FROM result_table)
-SELECT min(a.row_id) AS first_row_id, b.row_id FROM k a JOIN k b ON a.rec = b.rec AND a.meta_pos = b.meta_pos AND a.meta_t = b.meta_t AND a.tun = b.tun AND a.row_id < b.row_id
-WHERE coalesce(a.h = b.h, false) OR coalesce({_near('covered_area')} AND {_near('graph_edge_length')} AND {_near('graph_node_count')}, false) GROUP BY b.row_id""",
+    "p1_found": f"WITH {_BLOCKS} SELECT min(a.row_id) AS first_row_id, b.row_id FROM k a JOIN k b ON {_ONE_BLOCK} AND a.row_id < b.row_id WHERE {_ONE_FRAME} GROUP BY b.row_id",
+    "p1_clusters": f"""WITH RECURSIVE {_BLOCKS}, e AS MATERIALIZED (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM k a JOIN k b ON {_ONE_BLOCK} AND a.row_id <> b.row_id WHERE {_ONE_FRAME}),
+r(v, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v) SELECT v AS row_id, min(root) AS representative FROM r GROUP BY v""",
 }
