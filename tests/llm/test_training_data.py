@@ -152,7 +152,7 @@ def _same_frame(rows):
     return [(i, b, 0, 0, "a.tif", a, 50.0, 10, h, "t", "c") for i, b, a, h in rows]
 
 
-def check_bridges(spark):
+def test_a_later_row_bridges_clusters(spark):
     """100 and 101.8 are apart; 100.9 agrees with both, and so do two clusters joined by a hash."""
     rows = _same_frame([(1, 0, 100.0, None), (2, 0, 101.8, None), (3, 1, 100.9, None), (4, 1, 300.0, "x"), (5, 2, 600.0, "y"), (6, 2, 600.0, "x"), (7, 3, 9.0, None)])
     index = linkage.LinkIndex(spark)
@@ -183,18 +183,12 @@ def test_history_is_read_by_recording(spark, monkeypatch):
 
     monkeypatch.setattr(linkage.LinkIndex, "_history", watched)
     index = linkage.LinkIndex(spark)
-    for n in range(12):
-        rows = [(n * 100 + i, n, 0, i % 50, f"rec{n % 6}.tif", 100.0, 50.0, 10, f"h{n % 6}-{i % 50}", "t", "c") for i in range(1, 61)]
+    for n in range(9):
+        rows = [(n * 100 + i, n, 0, i % 50, f"rec{n % 4}.tif", 100.0, 50.0, 10, f"h{n % 4}-{i % 50}", "t", "c") for i in range(1, 61)]
         found = index.link(spark.createDataFrame(rows, R)).count()
-        assert found == (10 if n < 6 else 60)
-    whole = sum(_read_of(spark.read.parquet(index.scratch.path(f"keys/delivery={n}"))) for n in range(11))
-    assert max(read) <= whole / 3 and read[10] <= read[6] * 1.5
-
-
-@pytest.mark.parametrize("small", [2, 16])
-def test_linkage_by_block_and_by_grid(spark, monkeypatch, small):
-    monkeypatch.setattr(linkage, "SMALL_BLOCK", small)
-    check_bridges(spark)
+        assert found == (10 if n < 4 else 60)
+    whole = sum(_read_of(spark.read.parquet(index.scratch.path(f"keys/delivery={n}"))) for n in range(8))
+    assert max(read) <= whole / 3 and read[6] <= read[3] * 1.5
 
 
 def test_drifting_block_is_exact(spark, monkeypatch):
