@@ -367,10 +367,12 @@ def test_copies_of_a_band_all_meet(spark):
     assert found == {(a, b) for a in ("cut", "longer", "longest") for b in alike if a != b}
 
 
-def test_texts_that_lost_most_of_themselves_meet_their_copies(spark):
+@pytest.mark.parametrize("hot", [1, 64])
+def test_texts_that_lost_most_of_themselves_meet_their_copies(spark, monkeypatch, hot):
     """Cut to a tenth, with a slip near the end, beside a copy; and recall of all pairs of the reviews by which the longer holds the shorter."""
     from threadmoss.scratch import Scratch
 
+    monkeypatch.setattr(truncation, "HOT", hot)
     w = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
     cut, slip = w[:30], [*w[:44], "slip", *w[45:50]]
     docs = spark.createDataFrame([(i, " ".join(t), None, None) for i, t in enumerate([cut, slip, [*w, "end."]])], "doc_id bigint, text string, source string, title string")
@@ -387,6 +389,28 @@ def test_texts_that_lost_most_of_themselves_meet_their_copies(spark):
     assert want and found <= want and len(found) >= 0.9 * len(want), (len(found), len(want))
 
 
+def test_a_shared_sentence_makes_no_pairs(spark, monkeypatch):
+    """Texts round one long sentence: split by rare shingles its window pairs only a text with what holds it, and loses no such pair."""
+    from threadmoss.scratch import Scratch
+
+    monkeypatch.setattr(truncation, "LOOKED_UP", 1.0)
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    sentence = [f"same{name(i)}" for i in range(24)]
+    texts = [" ".join([*(f"a{name(100 * i + k)}" for k in range(9)), *sentence, *(f"b{name(100 * i + k)}" for k in range(6))]) for i in range(1, 41)]
+    texts += [f"{x} and more words follow here." for x in texts]
+    docs = spark.createDataFrame([(i, x, None, None) for i, x in enumerate(texts)], "doc_id bigint, text string, source string, title string")
+    t, compared, got = truncation.texts_of(docs), {}, {}
+    cells = truncation._in_cells
+    for hot in (4, 1000):
+        parts = []
+        monkeypatch.setattr(truncation, "HOT", hot)
+        monkeypatch.setattr(truncation, "_in_cells", lambda *a: parts.append(cells(*a)) or parts[-1])
+        got[hot] = {(r["text_id"], r["copy_id"]) for r in truncation.near_copies(t, Scratch(spark, "t")).collect()}
+        compared[hot] = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().count()
+    assert got[4] == got[1000] and len(got[4]) == 40
+    assert compared[4] < 100 < 3000 < compared[1000]
+
+
 @pytest.mark.parametrize("cell", [1, 4096])
 def test_band_cells(spark, monkeypatch, cell):
     from threadmoss.scratch import Scratch
