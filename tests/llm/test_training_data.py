@@ -244,6 +244,35 @@ def test_hot_block_is_not_compared_pair_by_pair(spark):
     assert {r["first_row_id"] for r in got.collect()} == {1} and got.count() == 2999
 
 
+def test_a_block_of_repeated_points_needs_no_grid(spark, monkeypatch):
+    """Sixty rows that show two contents over and over are two points, compared one by one."""
+    monkeypatch.setattr(linkage, "_grid_pairs", lambda points: pytest.fail("grid"))
+    rows = _same_frame([(i, i // 40, 100.0 if i % 2 else 300.0, "x" if i % 2 else None) for i in range(1, 61)])
+    index, got = linkage.LinkIndex(spark), {}
+    for part in linkage.deliveries(spark.createDataFrame(rows, R)):
+        got |= {r["row_id"]: r["first_row_id"] for r in index.link(part).collect()}
+        index.accept()
+    assert got == {i: 2 - i % 2 for i in range(3, 61)}
+    assert {r["row_id"]: r["representative"] for r in index.mapping().collect()} == {i: 2 - i % 2 for i in range(1, 61)}
+
+
+def test_texts_of_a_key_are_read_once(spark, data):
+    """A row's names and hashes go through their replacements once, not again for the filter and each hash."""
+    plan = linkage.blocking_rows(spark.read.parquet(f"{data}/result_table.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("copy of") == 2  # whether anything is left of the name, and what
+
+
+def test_plain_names_and_hashes(spark):
+    """What is written plainly is read as the chain of replacements reads it."""
+    names = ["Kara_pl01.ome.tiff", "kara_pl01.TIF", "a_copy.tif", "a_copy.ome.tiff", "a__b.tif", "_a.tif", "a_.tif", "a.tif\n", " a_b.tiff ", "a", "copy.tif", ".tif", "a.ome", "a_copy_copy.tif"]
+    want = ["kara_pl01", "kara_pl01", "a", "a", "a_b", "_a", "a_", "a", "a_b", "a", "copy", None, "a_ome", "a"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in names], "x string").coalesce(1).select(linkage.recording_name(F.col("x"))).collect()] == want
+    h = sha("t")
+    ways = [b64("t"), "VERSION:1:SHA256:" + b64("t"), "version:12:sha-256:" + h.hex(), h.hex().upper(), f" {h.hex()} ", "Sha256:" + b64("t").rstrip("="), b64("t").replace("+", "-").replace("/", "_")]
+    assert {r[0] for r in spark.createDataFrame([(x,) for x in ways], "x string").select(linkage.hash_hex(F.col("x"))).collect()} == {h.hex()}
+    assert [r[0] for r in spark.createDataFrame([("VERSION:1:" + b64("t"),), ("x" * 43 + "==",), ("",)], "x string").coalesce(1).select(linkage.hash_hex(F.col("x"))).collect()][::2] == ["VERSION:1:" + b64("t"), None]
+
+
 @pytest.fixture(scope="module")
 def official():
     import tiktoken
