@@ -451,6 +451,53 @@ def test_band_cells(spark, monkeypatch, cell):
     assert len(pairs) == len(set(pairs)) == 30
 
 
+def test_finished_jobs_leave_no_files(spark, monkeypatch, data):
+    """Shuffle files go with the job that wrote a table, and tables that no later step reads with that step; rounds change nothing."""
+    import os
+
+    from threadmoss.scratch import Scratch
+
+    held, own, made = [], Scratch.save, []
+    start = Scratch.__init__
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *a: (start(self, *a), made.append(self))[0])
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(os.path.basename(p).startswith("shuffle_") for p in files.mkString("\n").split("\n"))
+
+    def saved(self, *args, **kw):
+        before = shuffled()
+        out = own(self, *args, **kw)
+        held.append(shuffled() - before)
+        return out
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {}
+    for n in (1 << 23, 9_000):
+        monkeypatch.setattr(truncation, "ROUND", n)
+        found[n] = {r["doc_id"] for r in truncation.truncated(documents).collect()}
+        assert set(os.listdir(made[-1].root.removeprefix("file://"))) <= {"scores", "verdicts"} | {f"verified-{k}" for k in range(9)}
+    assert found[9_000] == found[1 << 23] and len(found[9_000]) > 20
+    assert max(held) <= 0
+
+
+def test_marks_lose_no_pair(spark, monkeypatch):
+    """Pairs that their marks keep apart aren't alike: without marks the same pairs are verified."""
+    from threadmoss.scratch import Scratch
+
+    t = Scratch(spark, "t").save(truncation.texts_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), "texts")
+    found, kept = [], []
+    for words in (truncation.MARKS, 0):
+        monkeypatch.setattr(truncation, "MARKS", words)
+        if not words:
+            monkeypatch.setattr(truncation, "_marks", lambda c: F.array().cast("array<bigint>"))
+        scratch = Scratch(spark, "t")
+        found.append({(r["text_id"], r["copy_id"]) for r in truncation.near_copies(t, scratch).collect()})
+        kept.append(scratch.load("pairs").count())
+    assert found[0] == found[1] and kept[0] < kept[1] / 2
+
+
 def test_copies_are_aligned(spark):
     """A slip before the end, a slip in the last word, a phrase that occurs before, and a text that only ends in another word."""
     base = "it stood in the hall for years and nobody asked who had put it there until the painters came and wanted the wall free so we moved the clock"
